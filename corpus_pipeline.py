@@ -1,2 +1,64 @@
-"""Corpus pipeline."""
-STAGES = []
+"""A corpus pipeline over `documents`: toxicity, near-dedup, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what a stage returns as
+Parquet to the shared folder and reads it again as the next one's docs. All stages but the last
+return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keelson.llm import decontaminate, mixing, sharding, simhash, toxicity
+from keelson.llm.common import materialize, read, small
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5; the classifier learns from all labelled rows of docs."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, name="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the documents with the smallest doc_id.
+
+    Rows with the same doc_id are one document and stay together; so do rows without a doc_id.
+    """
+    found = simhash.near_duplicates(spark, docs)
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+    return docs.join(small(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.decontaminate(spark, docs, read(spark, sf_dir, "benchmark"))
+
+
+def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the mixture takes them: a document of n epochs is n rows."""
+    return mixing.mixed(spark, docs)
+
+
+def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place of each document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    return sharding.shard(spark, docs, n_shards=8)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", one_of_near_copies),
+    ("decontamination", drop_leaks),
+    ("mixing", to_weights),
+    ("sharding", to_shards),
+]
+
+#: A trained classifier and a k-d tree can't be expressed in SQL; tests hold each stage against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs

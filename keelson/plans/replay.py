@@ -66,7 +66,7 @@ def zsets(log: DataFrame) -> DataFrame:
     return plain.select("bucket_id", "key", "member", "score").union(folded)
 
 
-def _fold_zset(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _fold_zset(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     held: dict = {}
     for op in pdf.sort_values(list(SEQ)).itertuples():
         if op.flag == Flag.ZADD:
@@ -81,8 +81,13 @@ def _fold_zset(key, pdf: pd.DataFrame) -> pd.DataFrame:
             a, b = (max(len(ranked) + int(x) + 1, 1) if x < 0 else max(int(x), 1) for x in (op.arg1, op.arg2))
             for m in ranked[min(a, b) - 1 : max(a, b)]:
                 del held[m]
-    n = len(held)
-    return pd.DataFrame({"bucket_id": [key[0]] * n, "key": [key[1]] * n, "member": [*held], "score": [*held.values()]})
+    return _frame(key, pdf, member=pd.Series([*held], dtype=pdf.value.dtype), score=pd.Series([*held.values()], dtype="float64"))
+
+
+def _frame(key, pdf: pd.DataFrame, **columns: pd.Series) -> pd.DataFrame:
+    """Result rows of one key, typed also where there are none."""
+    n = len(next(iter(columns.values())))
+    return pd.DataFrame({"bucket_id": pd.Series([key[0]] * n, dtype="int64"), "key": pd.Series([key[1]] * n, dtype=pdf.key.dtype)} | columns)
 
 
 _LFOLD = (Flag.LPOP, Flag.RPOP, Flag.LREM, Flag.LTRIM, Flag.LREMBYINDEX)
@@ -99,7 +104,9 @@ def lists(log: DataFrame, now_ms: int | None = None) -> DataFrame:
     folded_keys = ops.where(F.col("flag").isin(*map(int, _LFOLD))).select("bucket_id", "key").distinct()
     plain = ops.join(folded_keys, ["bucket_id", "key"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("bucket_id", "key", "flag").orderBy(*SEQ))
-    plain = plain.select("bucket_id", "key", F.when(F.col("flag") == int(Flag.RPUSH), nth).otherwise(-nth).cast("long").alias("list_seq"), "value")
+    given = F.col("arg1") if "arg1" in log.columns else F.lit(None)  # a push may bring its place along
+    place = F.coalesce(given, F.when(F.col("flag") == int(Flag.RPUSH), nth).otherwise(-nth))
+    plain = plain.select("bucket_id", "key", place.cast("long").alias("list_seq"), "value")
     rest = ops.join(folded_keys, ["bucket_id", "key"], "left_semi").select("bucket_id", "key", *SEQ, "flag", "value", "arg1", "arg2", "idx")
     kind = dict(log.dtypes)["key"], dict(log.dtypes)["value"]
     folded = rest.groupBy("bucket_id", "key").applyInPandas(_fold_list, f"bucket_id long, key {kind[0]}, list_seq long, value {kind[1]}")
@@ -151,11 +158,10 @@ def fold_list(ops) -> list:
     return [*held]
 
 
-def _fold_list(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _fold_list(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(list(SEQ))
     left = fold_list(zip(pdf.flag, pdf.value, pdf.arg1, pdf.arg2, pdf.idx))
-    n = len(left)
-    return pd.DataFrame({"bucket_id": [key[0]] * n, "key": [key[1]] * n, "list_seq": range(1, n + 1), "value": left})
+    return _frame(key, pdf, list_seq=pd.Series(range(1, len(left) + 1), dtype="int64"), value=pd.Series(left, dtype=pdf.value.dtype))
 
 
 def deque_fold(ops: DataFrame, key: str, order: list[str], kind: Column, value: str) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize, new_path, shared_dir  # noqa: F401
+
 #: Rows up to which a slim table (a few longs a row) is broadcast; above, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -18,34 +16,6 @@ BROADCAST_ROWS = 1_000_000
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
-
-    Where it is unset, a local master gets a temporary folder of its own; a cluster gets an error,
-    since no machine-local folder is visible to its executors.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="keelson-")
-    atexit.register(shutil.rmtree, base, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{base}")
-    return f"file://{base}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/keelson-{uuid.uuid4().hex}/{name}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors, prunes columns."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a check of the table's size; beyond the bound the join shuffles."""
     return F.broadcast(df) if rows <= bound else df

@@ -11,23 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import decontaminate, mixing, sharding, simhash, toxicity
-from keelson.llm.common import materialize, read, small
+from keelson.llm.common import fresh, materialize, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5; the classifier learns from all labelled rows of docs."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, name="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    name = fresh(docs, "_toxicity")
+    return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).drop(name)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the documents with the smallest doc_id.
-
-    Rows with the same doc_id are one document and stay together; so do rows without a doc_id.
-    """
-    found = simhash.near_duplicates(spark, docs)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(small(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each component of near copies the document with the smallest doc_id."""
+    return simhash.keep_one(spark, docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

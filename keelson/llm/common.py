@@ -21,6 +21,14 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """Lower-cased words of letters, digits and non-ASCII characters; null counts as empty."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NON_WORD), "")

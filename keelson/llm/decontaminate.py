@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sliding, small, words
+from .common import fresh, materialize, sliding, small, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -70,8 +70,9 @@ def containments(spark: SparkSession, docs: DataFrame, items: DataFrame, thresho
 
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """The rows of docs, all columns, whose text (or the texts pooled under its id) contains no item."""
-    hit = materialize(containments(spark, docs, items, threshold, k).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
-    return docs.join(small(hit, hit.count()), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    name = fresh(docs, "_hit")
+    hit = materialize(containments(spark, docs, items, threshold, k).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(small(hit, hit.count()), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 ORACLE = r"""

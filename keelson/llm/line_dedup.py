@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import fresh, materialize, small
 
 MAX_RATIO = 0.1
 MIN_PAGES = 3
@@ -45,16 +45,17 @@ def _digest(line: Column) -> Column:
 def drop_boilerplate(pages: DataFrame, host: str, lines: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages with a column kept: the array `lines` without lines that at least min_pages pages of the
     same host and more than max_ratio of them hold. Every column of pages comes along."""
-    seen = pages.select(F.col(host).alias("h"), F.explode_outer(F.array_distinct(F.transform(F.col(lines), _digest))).alias("d")).where("d is not null")
-    counts = seen.groupBy("h", "d").count().where(F.col("count") >= min_pages)
+    h, common = fresh(pages, "_host"), fresh(pages, "_common")
+    seen = pages.select(F.col(host).alias(h), F.explode_outer(F.array_distinct(F.transform(F.col(lines), _digest))).alias("d")).where("d is not null")
+    counts = seen.groupBy(h, "d").count().where(F.col("count") >= min_pages)
     totals = materialize(pages.groupBy(F.col(host).alias("t")).agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages), "hosts")
     n_hosts = totals.count()
-    common = counts.join(small(totals, n_hosts), F.col("h").eqNullSafe(F.col("t"))).where(F.col("count") > F.col("pages") * max_ratio)
-    common = materialize(common.groupBy("h").agg(F.collect_list("d").alias("common")), "boilerplate")
-    held = common.agg(F.sum(F.size("common"))).first()[0] or 0
-    out = pages.join(small(common, held), F.col(host).eqNullSafe(F.col("h")), "left").drop("h")
-    keep = F.filter(F.col(lines), lambda x: ~F.array_contains(F.col("common"), _digest(x)))
-    return out.withColumn("kept", F.when(F.col("common").isNull(), F.col(lines)).otherwise(keep)).drop("common")
+    found = counts.join(small(totals, n_hosts), F.col(h).eqNullSafe(F.col("t"))).where(F.col("count") > F.col("pages") * max_ratio)
+    found = materialize(found.groupBy(h).agg(F.collect_list("d").alias(common)), "boilerplate")
+    held = found.agg(F.sum(F.size(common))).first()[0] or 0
+    out = pages.join(small(found, held), F.col(host).eqNullSafe(F.col(h)), "left").drop(h)
+    keep = F.filter(F.col(lines), lambda x: ~F.array_contains(F.col(common), _digest(x)))
+    return out.withColumn("kept", F.when(F.col(common).isNull(), F.col(lines)).otherwise(keep)).drop(common)
 
 
 def line_dedup(spark: SparkSession, pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:

@@ -66,7 +66,7 @@ def _blocks(batches):
     def flush():
         flat = pa.chunked_array(chunks).combine_chunks().dictionary_encode()
         flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-        h = np.array([xxhash.xxh64_intdigest(w) for w in flat.dictionary.to_pylist()], dtype=np.uint64)
+        h = np.array([xxhash.xxh64_intdigest(w) for w in flat.dictionary.to_numpy(zero_copy_only=False)], dtype=np.uint64)
         vocabulary, place = np.unique(h, return_inverse=True)
         index = place.astype(np.uint32)[np.asarray(flat.indices)] if len(flat) else np.zeros(0, np.uint32)
         return pa.record_batch(

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import fresh, materialize, small
 from .components import components
 
 WIDTH = 64
@@ -41,7 +41,7 @@ def fingerprint(text: str | None, k: int = 3) -> int:
 def _fingerprints(batches):
     for b in batches:
         fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.record_batch([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+        yield pa.record_batch([b.column(0), b.column(2), pa.array(fps)], names=["doc_id", "text_hash", "fp"])
 
 
 def _parity(x: int) -> int:
@@ -166,6 +166,19 @@ def links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
     return ordered.mapInArrow(_bucket_links(radius), "a long, b long")
 
 
+def _grouped(docs: DataFrame, radius: int) -> DataFrame:
+    """doc_id, text_hash, fp, component (a fingerprint), component_id for each row of docs."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    of = materialize(slim.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long"), "fingerprints")
+    classes = materialize(of.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    found = materialize(components(links(classes.select("fp"), radius)), "components")
+    joined = classes.join(found, classes.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    joined = materialize(joined, "joined")
+    ids = materialize(joined.groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("component_id")), "ids")
+    named = materialize(joined.join(ids, joined.component == ids.c).select(F.col("fp").alias("f"), "component", "component_id"), "named")
+    return of.join(named, of.fp == named.f).drop("f")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint, component_id (the smallest doc_id reachable) for each row of docs.
 
@@ -173,11 +186,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 3) -> Da
     appear. A null doc_id keeps its row; it names a component only if all of the component's ids are
     null, and then the component is null. Other columns are ignored; no rows give none.
     """
-    of = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    classes = materialize(of.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    found = materialize(components(links(classes.select("fp"), radius)), "components")
-    joined = classes.join(found, classes.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    joined = materialize(joined, "joined")
-    ids = materialize(joined.groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("component_id")), "ids")
-    named = materialize(joined.join(ids, joined.component == ids.c).select(F.col("fp").alias("f"), "component_id"), "named")
-    return of.join(named, of.fp == named.f).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(docs, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 3) -> DataFrame:
+    """The rows of docs, all columns, of one document of each component: that with the smallest
+    doc_id (a null one only if there is no other) and, of several texts with it, the smallest hash.
+    Rows that repeat both doc_id and text are one document.
+    """
+    rows = materialize(_grouped(docs, radius), "grouped")
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = materialize(first.groupBy(F.col("component").alias("c")).agg(F.min("text_hash").alias("least")), "least")
+    second = first.join(least, first.component == least.c).where("text_hash <> least")
+    gone = rows.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").union(second.select("doc_id", "text_hash"))
+    a, b = fresh(docs, "_id"), fresh(docs, "_hash")
+    gone = materialize(gone.distinct().toDF(a, b), "near-copies")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.xxhash64("text") == F.col(b))
+    return docs.join(small(gone, gone.count()), same, "left_anti")

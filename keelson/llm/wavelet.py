@@ -12,12 +12,18 @@ doc_id, uint8 known, uint32 length, one array after the other); the planes (zsta
 
 from __future__ import annotations
 
+import gc
+import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,30 +37,86 @@ END_ID = 1
 PLANES = 16
 #: Text bytes of a shard.
 SHARD_BYTES = 8 << 20
-_WORDS = 400_000
+#: Words, and pieces, that a worker keeps.
+_WORDS = 600_000
+
+
+#: Letters, then ASCII signs other than the apostrophe: the tokenizer splits between the two.
+_PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)\Z")
+#: Stands between words that are encoded together: a digit is always a token of its own.
+_BETWEEN = "0"
+#: Ids of words, and of pieces of text (a word with its signs), kept between the tasks of a worker.
+_words_seen: dict[str, bytes] = {}
+_pieces_seen: dict[str, bytes] = {}
+
+
+def _make_room(held: dict, more: int) -> None:
+    """Drop the oldest half of what is held if more would pass the bound."""
+    if len(held) + more > _WORDS:
+        for w in [*islice(held, len(held) // 2)]:
+            del held[w]
 
 
 class Encoder:
     """Ids of whole texts. No token spans white space, so words are encoded once each and looked up after."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in known]
-        if len(known) + len(new) > _WORDS:
-            known = self.known = {}
-            new = [*dict.fromkeys(w for ws in split for w in ws)]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype=np.uint16).tobytes()
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), dtype=np.uint16) for ws in split]
+        self.tokenizer = Tokenizer.from_file(path)
+        (self.between,) = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+
+    def _encode(self, words: list[str]) -> None:
+        alone = [w for w in words if _BETWEEN in w or not w]
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            _words_seen[w] = array("H", e.ids).tobytes()
+        rest = [w for w in words if w and _BETWEEN not in w]
+        for at in range(0, len(rest), 256):
+            some = rest[at : at + 256]
+            (e,) = self.tokenizer.encode_batch_fast([f" {_BETWEEN} ".join(some)], add_special_tokens=False)
+            ids = np.array(e.ids, dtype=np.uint16)
+            ends = [*np.flatnonzero(ids == self.between).tolist(), len(ids)]
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, ends):
+                _words_seen[w] = raw[2 * start : 2 * end]
+                start = end + 1
+
+    def _learn(self, new: list[str]) -> None:
+        """Put new pieces of text into those seen: as a word and its signs where both can be told apart."""
+        parts = []
+        for w in new:
+            m = _PLAIN.match(w)
+            # ASCII is folded here, other letters are left to the tokenizer
+            parts.append((m[1].lower() if m[1].isascii() else m[1], m[2]) if m else (w, ""))
+        self._encode([*{x for p in parts for x in p if x not in _words_seen}])
+        get = _words_seen.__getitem__
+        _pieces_seen.update(zip(new, (get(a) + get(b) if b else get(a) for a, b in parts)))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, END_ID after each text, and how many each has."""
+        spaced = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
+        split = pc.split_pattern(spaced, " ")
+        coded = pc.list_flatten(split).dictionary_encode()
+        pieces, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
+        new = [w for w in pieces if w not in _pieces_seen]
+        if len(_pieces_seen) + len(new) > _WORDS:
+            _make_room(_pieces_seen, len(new))
+            new = [w for w in pieces if w not in _pieces_seen]
+        for at in range(0, len(new), 8192):
+            some = new[at : at + 8192]
+            _make_room(_words_seen, 2 * len(some))
+            self._learn(some)
+        found = [*map(_pieces_seen.__getitem__, pieces)]
+        ids = np.frombuffer(b"".join(found), dtype=np.uint16)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        start = np.cumsum(size) - size
+        # each piece's ids, gathered in the order of the texts
+        n = size[place]
+        before = np.cumsum(n) - n
+        out = ids[np.repeat(start[place] - before, n) + np.arange(int(n.sum()))]
+        ends = np.r_[0, np.cumsum(n)][np.cumsum(np.asarray(pc.list_value_length(split)))]
+        return np.insert(out, ends, np.uint16(END_ID)), np.diff(ends, prepend=0) + 1
 
 
 def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, planes: int = PLANES) -> bytes:
@@ -64,12 +126,15 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, plane
     table = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + known.tobytes() + np.asarray(lengths, "<u4").tobytes()
     zeros, packed, row = [], [], ids
     for level in range(planes - 1, -1, -1):
-        bit = (row >> np.uint16(level)).astype(np.uint8) & 1
-        packed.append(squeeze(np.packbits(bit, bitorder="little").tobytes()))
-        one = bit.view(bool)
-        low = row[~one]
-        zeros.append(len(low))
-        row = np.concatenate([low, row[one]])
+        one = (row & np.uint16(1 << level)) != 0
+        packed.append(squeeze(np.packbits(one, bitorder="little").tobytes()))
+        split = len(row) - int(np.count_nonzero(one))
+        zeros.append(split)
+        down = np.empty_like(row)
+        np.compress(one, row, out=down[split:])
+        np.logical_not(one, out=one)
+        np.compress(one, row, out=down[:split])
+        row = down
     body = [squeeze(table), *packed]
     head = MAGIC + struct.pack("<IIQ", planes, len(doc_ids), len(ids)) + struct.pack(f"<{planes}Q", *zeros)
     return head + struct.pack(f"<{planes + 1}I", *map(len, body)) + b"".join(body)
@@ -205,29 +270,30 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: s
     ordered = keyed.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches):
+        gc.disable()  # millions of words, no cycles
         encode, part = Encoder(tokenizer), TaskContext.get().partitionId()
-        ids, names, held, shard = [], [], 0, 0
-        end = np.array([END_ID], np.uint16)
+        ids, names, lengths, held, shard = [], [], [], 0, 0
 
         def flush():
-            lengths = np.array([len(x) for x in ids])
+            n = np.concatenate(lengths)
             path = f"{folder}/{part:06d}-{shard:06d}-{uuid.uuid4().hex}.kwm"
-            put(path, build(np.concatenate(ids), names, lengths))
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([path]), pa.array([int(lengths.sum())]), pa.array([len(ids)])], names=["part", "shard", "path", "n_tokens", "n_docs"])
+            put(path, build(np.concatenate(ids), names, n))
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([path]), pa.array([int(n.sum())]), pa.array([len(n)])], names=["part", "shard", "path", "n_tokens", "n_docs"])
 
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 64):  # bounds the ids held beside the texts
-                some = texts[at : at + 64]
-                for d, t, x in zip(b.column(0)[at : at + 64].to_pylist(), some, encode(some)):
-                    ids.append(np.concatenate([x, end]))
-                    names.append(d)
-                    held += len(t)
-                    if held >= shard_bytes:
-                        yield flush()
-                        ids, names, held, shard = [], [], 0, shard + 1
+            for at in range(0, b.num_rows, 1024):  # bounds what is held beside the ids
+                some = b.slice(at, 1024)
+                tokens, n = encode(some.column(1))
+                ids.append(tokens)
+                lengths.append(n)
+                names += some.column(0).to_pylist()
+                held += some.column(1).nbytes
+                if held >= shard_bytes:
+                    yield flush()
+                    ids, names, lengths, held, shard = [], [], [], 0, shard + 1
         if names:
             yield flush()
+        gc.enable()
 
     return materialize(ordered.mapInArrow(write, "part int, shard int, path string, n_tokens long, n_docs long"), "manifest")
 

@@ -3,7 +3,7 @@
 A node that is to give n shards splits along its widest dimension at the point below which lie
 n//2 of n parts of its bytes. Medians come from histograms that are summed on the executors and
 refined within the bin the cut falls in, so no round gathers or sorts rows; the driver holds the
-histograms only, BINS rows for each open node.
+histograms only, ALL_BINS rows or LEAST_BINS for each open node.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small
 
-BINS = 512
+#: Histogram bins of a node, at most and at least, and of all open nodes together.
+BINS, LEAST_BINS, ALL_BINS = 512, 8, 1 << 18
 #: A group of equal texts that holds a cut is kept whole if that costs less than this part of the node's bytes.
 SLACK = 0.002
 _LOW = -(1 << 62)
@@ -37,36 +38,30 @@ def _slim(docs: DataFrame) -> DataFrame:
 DIMENSIONS = ("d_size", "d_lang", "d_chars")
 
 
-def _key(dim: str) -> Column:
-    """A dimension's value and, among equal values, a digest of the text: equal texts stay together."""
-    return F.shiftleft(F.col(dim), 30) + F.col("digest")
+def _look_up(rows: DataFrame, table: dict[int, tuple], columns: str, how: str = "inner") -> DataFrame:
+    """rows joined to a table of one row for each node: far fewer than rows, and broadcast while few."""
+    df = rows.sparkSession.createDataFrame([(n, *v) for n, v in table.items()], f"node int, {columns}")
+    return rows.join(small(df, len(table)), "node", how)
 
 
-def _by_node(nodes: dict[int, str | int], otherwise=None) -> Column:
-    out = F
-    for n, v in nodes.items():
-        out = out.when(F.col("node") == n, v)
-    return out if otherwise is None else out.otherwise(otherwise)
-
-
-def _cuts(rows: DataFrame, keys: dict[int, Column], want: dict[int, float]) -> dict[int, dict]:
-    """For each node the key of the row in which the running sum of sizes, in order of the key,
-    reaches want[node]; with the bytes below that key (before) and at it (mass)."""
-    rows = rows.where(F.col("node").isin([*keys])).select("node", "size", _by_node(keys).alias("key"))
+def _cuts(rows: DataFrame, want: dict[int, float]) -> dict[int, dict]:
+    """rows(node, size, key). For each node the key at which the running sum of sizes, in order of the
+    key, reaches want[node]; with the bytes below that key (before) and at it (mass)."""
     low, high = {}, {}
     for n, a, b in rows.groupBy("node").agg(F.min("key"), F.max("key")).collect():
         low[n], high[n] = a, b
-    before, found = dict.fromkeys(keys, 0), {}
+    before, found = dict.fromkeys(want, 0), {}
     while low:
-        step = {n: (high[n] - low[n]) // BINS + 1 for n in low}
-        open_rows = rows.where(F.col("node").isin([*low])).withColumns({"low": _by_node({n: F.lit(v).cast("long") for n, v in low.items()}), "high": _by_node({n: F.lit(v).cast("long") for n, v in high.items()}), "step": _by_node({n: F.lit(v).cast("long") for n, v in step.items()})})
-        binned = open_rows.where("key between low and high").withColumn("bin", F.expr("(key - low) div step"))
-        # bounded: BINS rows a node
-        bins = sorted(map(tuple, binned.groupBy("node", "bin").agg(F.sum("size"), F.min("key"), F.max("key")).collect()))
-        for n in list(low):
-            mine = [b for b in bins if b[0] == n]
+        bins = max(LEAST_BINS, min(BINS, ALL_BINS // len(low)))
+        spans = {n: (low[n], high[n], (high[n] - low[n]) // bins + 1) for n in low}
+        inside = _look_up(rows, spans, "low long, high long, step long").where("key between low and high")
+        binned = inside.groupBy("node", F.expr("(key - low) div step").alias("bin")).agg(F.sum("size"), F.min("key"), F.max("key"))
+        by: dict[int, list] = {}
+        for n, *rest in sorted(map(tuple, binned.collect())):
+            by.setdefault(n, []).append(rest)
+        for n, mine in by.items():
             run = before[n]
-            for k, (_, _, mass, a, b) in enumerate(mine):
+            for k, (_, mass, a, b) in enumerate(mine):
                 if run + mass >= want[n] or k == len(mine) - 1:
                     before[n] = run
                     if a == b:
@@ -82,50 +77,47 @@ def _cuts(rows: DataFrame, keys: dict[int, Column], want: dict[int, float]) -> d
 def assign(slim: DataFrame, n_shards: int, dimensions: tuple[str, ...] = DIMENSIONS, slack: float = SLACK) -> DataFrame:
     """slim with a column shard from 0 to n_shards-1."""
     rows = slim.withColumn("node", F.lit(0))
-    first = {0: 0}  # node -> its first shard
-    count = {0: n_shards}
+    spread = [F.min(d).alias(f"lo{i}") for i, d in enumerate(dimensions)] + [F.max(d).alias(f"hi{i}") for i, d in enumerate(dimensions)]
+    root = rows.agg(*spread).first()
+    first, count, level = {0: 0}, {0: n_shards}, 0  # by node: its first shard, how many it gives
+    # a dimension's value and, among equal values, a digest of the text: equal texts stay together
+    key = F.shiftleft(F.element_at(F.array(*dimensions), F.col("dim") + 1), 30) + F.col("digest")
+    own = F.coalesce("doc_id", F.lit(_LOW))
     while any(c > 1 for c in count.values()):
-        split = [n for n, c in count.items() if c > 1]
-        spread = [F.min(d).alias(f"lo{i}") for i, d in enumerate(dimensions)] + [F.max(d).alias(f"hi{i}") for i, d in enumerate(dimensions)]
-        stats = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), *spread).collect()}
+        stats = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), *spread).collect() if count[r["node"]] > 1}
         if not stats:
             break
-        root = rows.agg(*spread).first()
         wide = lambda r, i: (r[f"hi{i}"] - r[f"lo{i}"]) / max(1, root[f"hi{i}"] - root[f"lo{i}"])
-        dim = {n: dimensions[max(range(len(dimensions)), key=lambda i: (wide(stats[n], i), -i))] for n in split if n in stats}
-        want = {n: stats[n]["bytes"] * (count[n] // 2) / count[n] for n in dim}
-        keys = {n: _key(d) for n, d in dim.items()}
-        cut = _cuts(rows, keys, want)
+        dim = {n: max(range(len(dimensions)), key=lambda i: (wide(r, i), -i)) for n, r in stats.items()}
+        want = {n: r["bytes"] * (count[n] // 2) / count[n] for n, r in stats.items()}
+        keyed = _look_up(rows, {n: (d,) for n, d in dim.items()}, "dim int").withColumn("key", key)
+        cut = _cuts(keyed.select("node", "size", "key"), want)
         divide = {}
         for n, c in cut.items():
             over, under = c["before"] + c["mass"] - want[n], want[n] - c["before"]
-            if min(over, under) <= slack * stats[n]["bytes"] / count[n]:
-                c["last"] = None  # the group goes to one side as a whole
-                c["left"] = over <= under
-            else:
+            c["last"] = None if over <= under else _LOW - 1  # the group goes to one side as a whole: left, or right
+            if min(over, under) > slack * stats[n]["bytes"] / count[n]:
                 divide[n] = c
         if divide:
-            ids = rows.where(F.col("node").isin([*divide])).where(_by_node({n: _key(dim[n]) == c["key"] for n, c in divide.items()}))
-            at = _cuts(ids, {n: F.coalesce("doc_id", F.lit(_LOW)) for n in divide}, {n: want[n] - c["before"] for n, c in divide.items()})
+            same = _look_up(keyed, {n: (c["key"],) for n, c in divide.items()}, "at long").where("key = at")
+            inner = _cuts(same.select("node", "size", own.alias("key")), {n: want[n] - c["before"] for n, c in divide.items()})
             for n, c in divide.items():
-                c["last"] = at[n]["key"]
-        left = {}
-        for n, c in cut.items():
-            key, same = _key(dim[n]), F.lit(c.get("left", False)) if c["last"] is None else F.coalesce("doc_id", F.lit(_LOW)) <= c["last"]
-            left[n] = (key < c["key"]) | ((key == c["key"]) & same)
-        top = max(count) + 1
-        moves, new_count, new_first = {}, dict(count), dict(first)
-        for k, n in enumerate(split):
-            half = count[n] // 2
-            a, b = top + 2 * k, top + 2 * k + 1
-            new_count |= {a: half, b: count[n] - half}
-            new_first |= {a: first[n], b: first[n] + half}
-            del new_count[n], new_first[n]
-            if n in left:
-                moves[n] = F.when(left[n], a).otherwise(b)
-        rows = rows.withColumn("node", _by_node(moves, F.col("node")))
-        count, first = new_count, new_first
-    return rows.withColumn("shard", _by_node({n: F.lit(s) for n, s in first.items()}, F.lit(0)).cast("int")).drop("node")
+                c["last"] = inner[n]["key"]
+        top, sides = max(count) + 1, {}
+        for k, n in enumerate(n for n, c in [*count.items()] if c > 1):
+            a, b, half = top + 2 * k, top + 2 * k + 1, count[n] // 2
+            count |= {a: half, b: count.pop(n) - half}
+            first |= {a: first[n], b: first.pop(n) + half}
+            if n in cut:
+                sides[n] = (dim[n], cut[n]["key"], cut[n]["last"], a, b)
+        rows = _look_up(rows, sides, "dim int, at long, last long, a int, b int", "left")
+        left = (key < F.col("at")) | ((key == F.col("at")) & (F.col("last").isNull() | (own <= F.col("last"))))
+        node = F.when(F.col("dim").isNull(), F.col("node")).when(left, F.col("a")).otherwise(F.col("b"))
+        rows = rows.select(*slim.columns, node.alias("node"))
+        level += 1
+        if level % 3 == 0:
+            rows = materialize(rows, "nodes")  # else each round would walk all levels again
+    return _look_up(rows, {n: (s,) for n, s in first.items()}, "shard int").drop("node")
 
 
 def slots(rows: DataFrame, pieces: int = 64) -> DataFrame:

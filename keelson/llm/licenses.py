@@ -127,3 +127,25 @@ def summary(verified: DataFrame) -> DataFrame:
         label.alias("labels"),
         F.round(F.max("part"), 6).alias("score"),
     )
+
+
+def _values() -> str:
+    rows = [(0, label, text) for text, label in PHRASES] + [(1, label, text) for label, text in TEXTS]
+    return ", ".join("({}, {}, '{}', '{}')".format(i, kind, label, text.replace("'", "''")) for i, (kind, label, text) in enumerate(rows))
+
+
+_SPLIT = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {_SPLIT.format("text")} AS w FROM documents),
+t AS (SELECT template, kind, label, {_SPLIT.format("txt")} AS w, CASE kind WHEN 0 THEN {PHRASE_GRAM} ELSE {TEXT_GRAM} END AS k FROM (VALUES {_values()}) v(template, kind, label, txt)),
+tg AS (SELECT template, kind, label, k, len(w) - k + 1 AS n_grams, i - 1 AS place, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM t)),
+dg AS (SELECT doc_id, k, i - 1 AS at_word, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (VALUES ({PHRASE_GRAM}), ({TEXT_GRAM})) v(k))),
+votes AS (SELECT doc_id, template, kind, label, n_grams, at_word - place AS diagonal, count(DISTINCT place) AS votes, list(DISTINCT place) AS places FROM dg JOIN tg USING (k, g) GROUP BY ALL),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM
+  (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {BAND} THEN 0 ELSE 1 END AS fresh FROM votes WHERE kind = 1)),
+spans AS (SELECT doc_id, kind, label, diagonal AS spot, 1.0::DOUBLE AS part FROM votes WHERE kind = 0 AND votes = n_grams
+  UNION ALL SELECT doc_id, kind, label, NULL, len(list_distinct(flatten(list(places)))) / n_grams AS part FROM runs GROUP BY doc_id, kind, template, label, n_grams, run HAVING len(list_distinct(flatten(list(places)))) / n_grams >= {COVERAGE}),
+s AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_base, min(spot) FILTER (kind = 0) AS first_word, max(spot) FILTER (kind = 0) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (kind = 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, round(max(part), 6) AS score FROM spans GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM d LEFT JOIN s USING (doc_id)
+"""

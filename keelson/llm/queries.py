@@ -57,5 +57,6 @@ ORACLE = {
     "op4_mixing": mixing.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op9_licenses": licenses.ORACLE,
     "op10_lm_scores": lm.ORACLE,
 }

@@ -33,7 +33,7 @@ NEUTRAL = "person"
 
 BITS = 18
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE_LIMIT = 200_000
+_CACHE_LIMIT = 60_000
 _ids: dict[str, tuple[int, ...]] = {}
 
 

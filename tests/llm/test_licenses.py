@@ -1,6 +1,7 @@
 import re
 
 from edges import crowded, edge_docs, rows
+from oracle import assert_same, connect
 
 from keelson.llm import licenses
 from keelson.llm.common import read
@@ -47,3 +48,8 @@ def test_edges(spark):
     assert rows(out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")) == sorted(((r["doc_id"], *plain(r["text"])) for r in docs.collect()), key=repr)
     assert rows(licenses.license_scan(spark, crowded(docs))) == rows(out)
     assert licenses.license_scan(spark, docs.limit(0)).count() == 0
+
+
+def test_oracle(spark):
+    folder = "/root/testdata/sf0.01"
+    assert_same(licenses.license_scan(spark, read(spark, folder, "documents")), connect(folder), licenses.ORACLE)

@@ -7,8 +7,11 @@ a squared penalty on the change of the logit keeps the score from leaning on the
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,8 @@ IDENTITY_TERMS = (
 )
 NEUTRAL = "person"
 
-BITS = 18
+#: Prefixes counted, and the numbers of a text's distinct words with a prefix that are features of their own.
+PREFIXES, TIMES = (4, 5, 6, 7), (2, 4)
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE_LIMIT = 60_000
 _ids: dict[str, tuple[int, ...]] = {}
@@ -42,17 +46,18 @@ def _feature_ids(word: str) -> tuple[int, ...]:
     if found is None:
         if len(_ids) >= _CACHE_LIMIT:
             _ids.clear()
-        mask = (1 << BITS) - 1
-        names = [f"w {word}", *(f"p {word[:n]}" for n in (4, 5, 6) if len(word) > n)]
-        found = _ids[word] = tuple(zlib.crc32(x.encode()) & mask for x in names)
+        names = [f"w {word}", *(f"p {word[:n]}" for n in PREFIXES if len(word) > n)]
+        found = _ids[word] = tuple(zlib.crc32(x.encode()) for x in names)
     return found
 
 
 def features(text: str | None) -> set[int]:
-    """Hashed ids of a text's distinct words and of their prefixes of four to six letters."""
-    ids: set[int] = set()
-    for word in set(_WORD.findall((text or "").lower())):
-        ids.update(_feature_ids(word))
+    """32-bit ids of a text's distinct words, of their prefixes, and of prefixes that several of them share."""
+    times = Counter(chain.from_iterable(map(_feature_ids, set(_WORD.findall((text or "").lower())))))
+    ids = set(times)
+    for i, n in times.items():
+        if n > 1:
+            ids.update((i * 31 + t) & 0xFFFFFFFF for t in TIMES if n >= t)
     return ids
 
 
@@ -69,27 +74,29 @@ def counterfactuals(text: str | None) -> list[str]:
 
 
 class Model:
-    """Weights over hashed features; its size is fixed by BITS."""
+    """Weights by feature id; as many as features were chosen."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights.astype(np.float32), float(bias)
+    def __init__(self, weights: dict[int, float], bias: float):
+        self.weights, self.bias = weights, float(bias)
+        self._known = frozenset(weights)
 
-    def score_ids(self, ids) -> float:
-        x = self.bias + float(self.weights[np.fromiter(ids, np.int64, len(ids))].sum()) if ids else self.bias
-        return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
+    def score_ids(self, ids: set[int]) -> float:
+        x = self.bias + sum(self.weights[i] for i in sorted(self._known.intersection(ids)))
+        return 1 / (1 + math.exp(-min(max(x, -30.0), 30.0)))
 
     def score(self, text: str | None) -> float:
         return self.score_ids(features(text))
 
 
-def train(rows: list[tuple[int, list[int], list[list[int]]]], penalty: float = 1.0, l2: float = 2e-4, steps: int = 300) -> Model:
+def train(rows: list[tuple[int, list[int], list[list[int]]]], penalty: float = 1.0, l2: float = 2e-3, steps: int = 300) -> Model:
     """rows: (label, feature ids, feature ids of each counterfactual). Full-batch Adam on the
-    cross-entropy plus penalty times the mean squared change of the logit under the swaps."""
+    cross-entropy plus penalty times the mean squared change of the logit under the swaps. A feature
+    is scaled by its naive Bayes log ratio, so that rare words that go with one class count at once."""
     used = np.array(sorted({i for _, ids, cf in rows for x in (ids, *cf) for i in x}), dtype=np.int64)
     label = np.array([r[0] for r in rows], dtype=np.float64)
     if not len(rows) or not len(used):
         rate = (label.sum() + 0.5) / (len(rows) + 1) if len(rows) else 0.25
-        return Model(np.zeros(1 << BITS), np.log(rate / (1 - rate)))
+        return Model({}, np.log(rate / (1 - rate)))
 
     def matrix(sets):
         row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -101,30 +108,31 @@ def train(rows: list[tuple[int, list[int], list[list[int]]]], penalty: float = 1
     base = np.array([k for k, _ in pairs], dtype=np.int64)
     crow, ccol = matrix([cf for _, cf in pairs])
     n, d, m = len(rows), len(used), len(pairs)
-    w, b = np.zeros(d), np.log((label.mean() + 1e-3) / (1 - label.mean() + 1e-3))
+    toxic, clean = np.bincount(col, label[row], d), np.bincount(col, 1 - label[row], d)
+    scale = np.abs(np.log((toxic + 0.5) / (label.sum() + 1) * ((1 - label).sum() + 1) / (clean + 0.5))) + 0.1
+    v, b = np.zeros(d), np.log((label.mean() + 1e-3) / (1 - label.mean() + 1e-3))
     mom, var, mb, vb = np.zeros(d), np.zeros(d), 0.0, 0.0
     for t in range(1, steps + 1):
+        w = scale * v
         z = np.bincount(row, w[col], n) + b
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) / n
         on_row = err.copy()
-        grad = l2 * w
+        grad = np.zeros(d)
         if m:
             change = 2 * penalty * (z[base] - np.bincount(crow, w[ccol], m) - b) / m
             np.add.at(on_row, base, change)
-            grad = grad - np.bincount(ccol, change[crow], d)
-        grad = grad + np.bincount(col, on_row[row], d)
+            grad -= np.bincount(ccol, change[crow], d)
+        grad = scale * (grad + np.bincount(col, on_row[row], d)) + l2 * v
         gb = err.sum()
         mom, var = 0.9 * mom + 0.1 * grad, 0.999 * var + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-        w -= 0.05 * (mom / c1) / (np.sqrt(var / c2) + 1e-9)
+        v -= 0.05 * (mom / c1) / (np.sqrt(var / c2) + 1e-9)
         b -= 0.05 * (mb / c1) / (np.sqrt(vb / c2) + 1e-9)
-    weights = np.zeros(1 << BITS)
-    weights[used] = w
-    return Model(weights, b)
+    return Model(dict(zip(used.tolist(), (scale * v).tolist())), b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, n_features: int = 4_096, penalty: float = 1.0, only=None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, n_features: int = 2_048, penalty: float = 1.0, only=None) -> Model:
     """Fit on a bounded sample: at most per_class labelled documents of each class, those with the
     smallest hash of their id. only: a condition on labels' doc_id that rows to learn from must meet.
 
@@ -144,9 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, n_features:
         for b in batches:
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = list(features(text))
-                yield pa.record_batch([pa.array([y] * len(ids), pa.int32()), pa.array(ids, pa.int32())], names=["y", "id"])
+                yield pa.record_batch([pa.array([y] * len(ids), pa.int32()), pa.array(ids, pa.int64())], names=["y", "id"])
 
-    counts = sample.mapInArrow(expand, "y int, id int").groupBy("id").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    counts = sample.mapInArrow(expand, "y int, id long").groupBy("id").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     totals = sample.agg(F.sum("_label"), F.count("*")).first()
     n1, n0 = totals[0] or 0, totals[1] - (totals[0] or 0)
     a, c = (F.col("p") + 0.5) / (n1 + 1.0), (F.col("q") + 0.5) / (n0 + 1.0)
@@ -162,16 +170,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, n_features:
                 ys.append(y)
                 ids.append(sorted(features(text) & chosen))
                 cfs.append([sorted(features(x) & chosen) for x in counterfactuals(text)])
-            yield pa.record_batch([pa.array(ys, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(cfs, pa.list_(pa.list_(pa.int32())))], names=["y", "ids", "cfs"])
+            yield pa.record_batch([pa.array(ys, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(cfs, pa.list_(pa.list_(pa.int64())))], names=["y", "ids", "cfs"])
 
-    found = sample.mapInArrow(vectors, "y int, ids array<int>, cfs array<array<int>>").toArrow()
+    found = sample.mapInArrow(vectors, "y int, ids array<long>, cfs array<array<long>>").toArrow()
     rows = sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), found.column(2).to_pylist()))
     return train(rows, penalty)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """All rows of docs with a score column from 0 to 1; null and empty texts get the model's base rate."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # 2**BITS floats
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # a number for each chosen feature
 
     @F.pandas_udf("double")
     def of(texts):

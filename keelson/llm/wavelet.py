@@ -84,14 +84,24 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Put new pieces of text into those seen: as a word and its signs where both can be told apart."""
-        parts = []
+        cores, signs = [], []
         for w in new:
-            m = _PLAIN.match(w)
+            if w.isalpha():
+                a, b = w, ""
+            elif w[:-1].isalpha() and w[-1] in ".,":
+                a, b = w[:-1], w[-1]
+            elif m := _PLAIN.match(w):
+                a, b = m[1], m[2]
+            else:
+                cores.append(w)
+                signs.append("")
+                continue
             # ASCII is folded here, other letters are left to the tokenizer
-            parts.append((m[1].lower() if m[1].isascii() else m[1], m[2]) if m else (w, ""))
-        self._encode([*{x for p in parts for x in p if x not in _words_seen}])
+            cores.append(a.lower() if a.isascii() else a)
+            signs.append(b)
+        self._encode([w for w in {*cores, *signs} if w not in _words_seen])
         get = _words_seen.__getitem__
-        _pieces_seen.update(zip(new, (get(a) + get(b) if b else get(a) for a, b in parts)))
+        _pieces_seen.update(zip(new, [get(a) + get(b) if b else get(a) for a, b in zip(cores, signs)]))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, END_ID after each text, and how many each has."""

@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what a stage returns as
 Parquet to the shared folder and reads it again as the next one's docs. All stages but the last
-return the columns of documents.
+return the columns of documents, and any others that docs has.
+
+Nulls, empty texts, repeated rows and empty tables are handled as the operators' docstrings say: a
+null or empty text is scored like any other, is a near copy of other empty ones, contains no
+benchmark item, has no tokens (a leaf of such texts only is left out), and takes one byte of a shard.
 """
 
 from __future__ import annotations

@@ -196,3 +196,53 @@ def iterate(state: DataFrame, seek=None, reverse: bool = False) -> DataFrame:
     landed = state.where(F.col("key") >= literal(seek)).agg(F.min("key").alias("landed"))  # one row
     below = state.join(F.broadcast(landed), F.col("key") <= F.col("landed"))
     return below.orderBy(F.col("key").desc()).select("key", "value")
+
+
+def pop(state: DataFrame, largest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the row with the least or largest key, the state without it)."""
+    end = (F.max if largest else F.min)("key").alias("end")
+    bound = state.agg(end)  # one row
+    return state.join(F.broadcast(bound), F.col("key") == F.col("end"), "left_semi"), state.join(F.broadcast(bound), F.col("key") == F.col("end"), "left_anti")
+
+
+class Cursor:
+    """A position in a state's key order, moved like an iterator.
+
+    Rows are fetched as they are passed; seek() goes to the least key not below the one asked for,
+    in either direction, and a reverse cursor walks down from there.
+    """
+
+    def __init__(self, state: DataFrame, reverse: bool = False):
+        self._state, self._reverse = state, reverse
+        self._rows, self._at = None, None
+
+    def _open(self, rows) -> bool:
+        self._rows = rows.toLocalIterator()
+        return self.next()
+
+    def rewind(self) -> bool:
+        return self._open(iterate(self._state, None, self._reverse))
+
+    def seek(self, key) -> bool:
+        return self._open(iterate(self._state, key, self._reverse))
+
+    def next(self) -> bool:
+        if self._rows is None:
+            return self.rewind()
+        self._at = next(self._rows, None)
+        return self._at is not None
+
+    def valid(self) -> bool:
+        return self._at is not None
+
+    def key(self):
+        return self._at["key"]
+
+    def value(self):
+        return self._at["value"]
+
+    def item(self):
+        return self._at
+
+    def release(self) -> None:
+        self._rows = self._at = None

@@ -128,9 +128,15 @@ def kv_iter_seek_reverse(spark, d):
     return kv.iterate(b.kv_orders(spark, d), seek="00000004205", reverse=True).limit(50)
 
 
-@query(f"SELECT key, value FROM {b.KV} ORDER BY key LIMIT 1")
+@query(f"SELECT key, value FROM {b.KV} WHERE key = (SELECT min(key) FROM {b.KV})")
 def kv_pop_min(spark, d):
-    return kv.Scan(b.kv_orders(spark, d)).take(1).frame("key", "value")
+    return kv.pop(b.kv_orders(spark, d))[0].select("key", "value")
+
+
+@query(f"SELECT key, value FROM {b.KV} WHERE key < (SELECT max(key) FROM {b.KV})")
+def kv_pop_max(spark, d):
+    """What is left after popping the largest key."""
+    return kv.pop(b.kv_orders(spark, d), largest=True)[1].select("key", "value")
 
 
 # Key/value: replay and value functions

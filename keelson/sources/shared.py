@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made for local sessions that name none, by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, read from the session.
 
@@ -21,10 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="keelson-")
-    atexit.register(shutil.rmtree, base, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{base}")
-    return f"file://{base}"
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="keelson-")
+        atexit.register(shutil.rmtree, _own[app], True)
+    return f"file://{_own[app]}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -14,10 +14,10 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts_for
+from .common import materialize, parts_for, small
 
 ALPHA = 0.4
 #: An unseen word counts as this many occurrences.
@@ -199,14 +199,19 @@ def lm_scores(spark: SparkSession, docs: DataFrame, part_words: int = PART_WORDS
     keeps its row; other columns are ignored; no rows give none.
     """
     blocks = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks, "block long, doc_ids array<long>, lengths array<int>, n long, vocabulary binary, words binary"), "blocks")
-    total = blocks.agg(F.sum("n")).first()[0] or 0
-    sent = blocks.mapInArrow(_counted(parts_for(total, part_words)), "order int, part int, block long, keys binary, n binary")
-    sent = sent.repartition("order", "part").sortWithinPartitions("order", "part", "block")
+    total, n_blocks = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    parts = parts_for(total, part_words)
+    sent = blocks.mapInArrow(_counted(parts), "order int, part int, block long, keys binary, n binary")
+    # one task for each part of each table: its size is that of part_words n-grams, whatever the corpus
+    sent = sent.repartitionById(2 * parts, (F.col("order") - 1) * parts + F.col("part")).sortWithinPartitions("order", "part", "block")
     answers = sent.mapInArrow(_totals, "block long, order int, part int, totals binary")
     empty = F.array().cast("array<long>"), F.array().cast("array<int>")
     rows = blocks.select("block", F.lit(0).alias("order"), F.lit(0).alias("part"), "doc_ids", "lengths", "vocabulary", "words")
     rows = rows.union(answers.select("block", "order", "part", *empty, F.lit(None).cast("binary"), "totals"))
-    rows = rows.repartition("block").sortWithinPartitions("block", "order", "part")
+    # one task for each block; the index has a row for each of them
+    index = blocks.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("task"))
+    rows = rows.join(small(index, n_blocks), "block").repartitionById(max(1, n_blocks), F.col("task")).drop("task")
+    rows = rows.sortWithinPartitions("block", "order", "part")
     return rows.mapInArrow(_scored(total), "doc_id long, n_words long, score double")
 
 

@@ -35,26 +35,30 @@ MAGIC = b"KWM1"
 RANK = 512
 END_ID = 1
 PLANES = 16
+#: Text bytes that are encoded at once.
+CHUNK_BYTES = 4 << 20
 #: Text bytes of a shard.
 SHARD_BYTES = 8 << 20
-#: Words, and pieces, that a worker keeps.
-_WORDS = 600_000
+#: Words and pieces that a worker keeps.
+_WORDS = 1_100_000
 
 
 #: Letters, then ASCII signs other than the apostrophe: the tokenizer splits between the two.
 _PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)\Z")
 #: Stands between words that are encoded together: a digit is always a token of its own.
 _BETWEEN = "0"
-#: Ids of words, and of pieces of text (a word with its signs), kept between the tasks of a worker.
-_words_seen: dict[str, bytes] = {}
-_pieces_seen: dict[str, bytes] = {}
+#: Ids of words and of pieces of text (a word with its signs), kept between the tasks of a worker.
+_seen: dict[str, bytes] = {}
+_tokenizers: dict = {}
 
 
-def _make_room(held: dict, more: int) -> None:
-    """Drop the oldest half of what is held if more would pass the bound."""
-    if len(held) + more > _WORDS:
-        for w in [*islice(held, len(held) // 2)]:
-            del held[w]
+def _make_room(more: int) -> bool:
+    """Drop the oldest third of what is held if more would pass the bound."""
+    if len(_seen) + more <= _WORDS:
+        return False
+    for w in [*islice(_seen, len(_seen) // 3)]:
+        del _seen[w]
+    return True
 
 
 class Encoder:
@@ -64,13 +68,15 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        if path not in _tokenizers:
+            _tokenizers[path] = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizers[path]
         (self.between,) = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
 
     def _encode(self, words: list[str]) -> None:
         alone = [w for w in words if _BETWEEN in w or not w]
         for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            _words_seen[w] = array("H", e.ids).tobytes()
+            _seen[w] = array("H", e.ids).tobytes()
         rest = [w for w in words if w and _BETWEEN not in w]
         for at in range(0, len(rest), 256):
             some = rest[at : at + 256]
@@ -79,7 +85,7 @@ class Encoder:
             ends = [*np.flatnonzero(ids == self.between).tolist(), len(ids)]
             raw, start = ids.tobytes(), 0
             for w, end in zip(some, ends):
-                _words_seen[w] = raw[2 * start : 2 * end]
+                _seen[w] = raw[2 * start : 2 * end]
                 start = end + 1
 
     def _learn(self, new: list[str]) -> None:
@@ -99,9 +105,9 @@ class Encoder:
             # ASCII is folded here, other letters are left to the tokenizer
             cores.append(a.lower() if a.isascii() else a)
             signs.append(b)
-        self._encode([w for w in {*cores, *signs} if w not in _words_seen])
-        get = _words_seen.__getitem__
-        _pieces_seen.update(zip(new, [get(a) + get(b) if b else get(a) for a, b in zip(cores, signs)]))
+        self._encode([w for w in {*cores, *signs} if w not in _seen])
+        get = _seen.__getitem__
+        _seen.update(zip(new, [get(a) + get(b) if b else get(a) for a, b in zip(cores, signs)]))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, END_ID after each text, and how many each has."""
@@ -109,22 +115,19 @@ class Encoder:
         split = pc.split_pattern(spaced, " ")
         coded = pc.list_flatten(split).dictionary_encode()
         pieces, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
-        new = [w for w in pieces if w not in _pieces_seen]
-        if len(_pieces_seen) + len(new) > _WORDS:
-            _make_room(_pieces_seen, len(new))
-            new = [w for w in pieces if w not in _pieces_seen]
+        new = [w for w in pieces if w not in _seen]
+        if _make_room(2 * len(new)):
+            new = [w for w in pieces if w not in _seen]
         for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            _make_room(_words_seen, 2 * len(some))
-            self._learn(some)
-        found = [*map(_pieces_seen.__getitem__, pieces)]
+            self._learn(new[at : at + 8192])
+        found = [*map(_seen.__getitem__, pieces)]
         ids = np.frombuffer(b"".join(found), dtype=np.uint16)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 2
-        start = np.cumsum(size) - size
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 2
+        start = np.cumsum(size, dtype=np.int32) - size
         # each piece's ids, gathered in the order of the texts
         n = size[place]
-        before = np.cumsum(n) - n
-        out = ids[np.repeat(start[place] - before, n) + np.arange(int(n.sum()))]
+        before = np.cumsum(n, dtype=np.int32) - n
+        out = ids[np.repeat(start[place] - before, n) + np.arange(int(n.sum()), dtype=np.int32)]
         ends = np.r_[0, np.cumsum(n)][np.cumsum(np.asarray(pc.list_value_length(split)))]
         return np.insert(out, ends, np.uint16(END_ID)), np.diff(ends, prepend=0) + 1
 
@@ -136,7 +139,9 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, plane
     table = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + known.tobytes() + np.asarray(lengths, "<u4").tobytes()
     zeros, packed, row = [], [], ids
     for level in range(planes - 1, -1, -1):
-        one = (row & np.uint16(1 << level)) != 0
+        if level == 7:
+            row = row.astype(np.uint8)  # the planes above have sorted the higher bits
+        one = (row & row.dtype.type(1 << level)) != 0
         packed.append(squeeze(np.packbits(one, bitorder="little").tobytes()))
         split = len(row) - int(np.count_nonzero(one))
         zeros.append(split)
@@ -237,14 +242,17 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order: the planes' sorting undone from the lowest up."""
-        row = np.zeros(self.n, np.uint16)
+        row = np.zeros(self.n, np.uint8)
         for k in range(self.planes - 1, -1, -1):
+            level = self.planes - 1 - k
+            if level == 8:
+                row = row.astype(np.uint16)
             one = np.unpackbits(np.frombuffer(self.packed[k], np.uint8), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(row)
             up[~one] = row[: self.zeros[k]]
-            up[one] = row[self.zeros[k] :] | np.uint16(1 << (self.planes - 1 - k))
+            up[one] = row[self.zeros[k] :] | row.dtype.type(1 << level)
             row = up
-        return row
+        return row.astype(np.uint16, copy=False)
 
 
 def _filesystem(path: str):
@@ -269,6 +277,17 @@ def get(path: str) -> bytes:
         return f.read()
 
 
+def _slices(b: pa.RecordBatch, most: int):
+    """Parts of a batch of (doc_id, text) with texts of about so many bytes, or one row."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0)), dtype=np.int64)
+    at = 0
+    while at < b.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
 def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode every text, append END_ID, and write wavelet matrix files in ascending doc_id order.
 
@@ -291,13 +310,12 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: s
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([path]), pa.array([int(n.sum())]), pa.array([len(n)])], names=["part", "shard", "path", "n_tokens", "n_docs"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 1024):  # bounds what is held beside the ids
-                some = b.slice(at, 1024)
+            for some in _slices(b, CHUNK_BYTES):
                 tokens, n = encode(some.column(1))
                 ids.append(tokens)
                 lengths.append(n)
                 names += some.column(0).to_pylist()
-                held += some.column(1).nbytes
+                held += int(pc.sum(pc.binary_length(some.column(1))).as_py() or 0)
                 if held >= shard_bytes:
                     yield flush()
                     ids, names, lengths, held, shard = [], [], [], 0, shard + 1

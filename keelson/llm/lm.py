@@ -1,4 +1,4 @@
-"""Language-model scores: stupid backoff over word bigrams, computed relationally.
+"""Language-model scores: stupid backoff over word n-grams, computed relationally.
 
 The n-gram count tables are partitioned by hash. Documents are read in blocks; a block's n-grams are
 exploded and counted, and its rows (n-gram, count) go to the partitions of their hashes, which sum
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import materialize, parts_for, small
 
 ALPHA = 0.4
+#: Words of the longest n-grams.
+ORDER = 2
 #: An unseen word counts as this many occurrences.
 UNSEEN = 0.5
 BLOCK_WORDS = 1_000_000
@@ -89,26 +91,28 @@ def _blocks(batches):
         yield flush()
 
 
-def _bigrams(vocabulary: np.ndarray, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each pair of neighbours in a document, and the place of its second word."""
-    first = np.zeros(len(words), bool)
-    starts = np.cumsum(lengths) - lengths
-    first[starts[lengths > 0]] = True
-    second = np.flatnonzero(~first)
+def _ngrams(vocabulary: np.ndarray, words: np.ndarray, lengths: np.ndarray, order: int):
+    """For each n from 2 to order: a hash for each run of n words in a document, and the place of its last word."""
+    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     h = vocabulary[words]
-    with np.errstate(over="ignore"):
-        x = h[second - 1] * np.uint64(0x9E3779B97F4A7C15) + h[second]
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-    return x, second
+    before = h
+    for n in range(2, order + 1):
+        last = np.flatnonzero(place >= n - 1)
+        with np.errstate(over="ignore"):
+            x = before[last - 1] * np.uint64(0x9E3779B97F4A7C15) + h[last]
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+        yield n, x, last
+        before = np.zeros(len(words), np.uint64)
+        before[last] = x
 
 
 def _open(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _unpack_sorted(row["vocabulary"]), _unpack(row["words"], np.uint32), np.array(row["lengths"], np.int64)
 
 
-def _counted(parts: int):
+def _counted(parts: int, longest: int):
     bounds = np.array([k * (1 << 64) // parts for k in range(1, parts)], dtype=np.uint64)
 
     def of(batches):
@@ -116,8 +120,8 @@ def _counted(parts: int):
             for k in range(b.num_rows):
                 row = b.slice(k, 1).to_pylist()[0]
                 vocabulary, words, lengths = _open(row)
-                pairs, _ = _bigrams(vocabulary, words, lengths)
-                tables = (1, vocabulary, np.bincount(words, minlength=len(vocabulary))), (2, *np.unique(pairs, return_counts=True))
+                tables = [(1, vocabulary, np.bincount(words, minlength=len(vocabulary)))]
+                tables += [(n, *np.unique(grams, return_counts=True)) for n, grams, _ in _ngrams(vocabulary, words, lengths, longest)]
                 out = []
                 for order, keys, n in tables:
                     cut = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
@@ -153,21 +157,22 @@ def _totals(batches):
         yield flush()
 
 
-def _scored(corpus_words: int):
+def _scored(corpus_words: int, longest: int):
     def block_scores(row, answers):
         vocabulary, words, lengths = _open(row)
-        one = np.concatenate(answers[1]).astype(np.float64) if answers[1] else np.zeros(0)
-        two = np.concatenate(answers[2]).astype(np.float64) if answers[2] else np.zeros(0)
+        totals = {n: np.concatenate(a).astype(np.float64) if a else np.zeros(0) for n, a in answers.items()}
         doc = np.repeat(np.arange(len(lengths)), lengths)
         # a document's own occurrences don't count for it
         _, at, own = np.unique(doc * np.int64(len(vocabulary) + 1) + words, return_inverse=True, return_counts=True)
-        seen = one[words] - own[at]
+        seen = totals[1][words] - own[at]
         logs = np.log10(np.maximum(seen, UNSEEN) / np.maximum(corpus_words - lengths[doc], 1))
-        pairs, second = _bigrams(vocabulary, words, lengths)
-        keys, which = np.unique(pairs, return_inverse=True)
-        _, at, own = np.unique(doc[second] * np.int64(len(keys) + 1) + which, return_inverse=True, return_counts=True)
-        joint = two[which] - own[at]
-        logs[second] = np.where(joint > 0, np.log10(np.maximum(joint, 1) / np.maximum(seen[second - 1], 1)), logs[second] + np.log10(ALPHA))
+        for n, grams, last in _ngrams(vocabulary, words, lengths, longest):
+            keys, which = np.unique(grams, return_inverse=True)
+            _, at, own = np.unique(doc[last] * np.int64(len(keys) + 1) + which, return_inverse=True, return_counts=True)
+            joint = totals[n][which] - own[at]
+            logs[last] = np.where(joint > 0, np.log10(np.maximum(joint, 1) / np.maximum(seen[last - 1], 1)), logs[last] + np.log10(ALPHA))
+            seen = np.zeros(len(words))
+            seen[last] = joint
         total = np.bincount(doc, weights=logs, minlength=len(lengths))
         score = [round(t / n, 6) if n else None for t, n in zip(total.tolist(), lengths.tolist())]
         return pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.array(lengths), pa.array(score, pa.float64())], names=["doc_id", "n_words", "score"])
@@ -180,7 +185,7 @@ def _scored(corpus_words: int):
                 if x["order"] == 0:
                     if row is not None:
                         yield block_scores(row, answers)
-                    row, answers = x, {1: [], 2: []}
+                    row, answers = x, {n: [] for n in range(1, longest + 1)}
                 else:
                     answers[x["order"]].append(_unpack(x["words"], np.uint64))
         if row is not None:
@@ -189,21 +194,22 @@ def _scored(corpus_words: int):
     return of
 
 
-def lm_scores(spark: SparkSession, docs: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
+def lm_scores(spark: SparkSession, docs: DataFrame, part_words: int = PART_WORDS, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, score for each row of docs: the mean over a text's words of the base-10
     logarithm of their stupid-backoff score, counts taken over all documents less the text's own.
 
-    S(w | v) = c(v w) / c(v) where the pair occurs in other documents, else 0.4 * c(w) / N; a first
-    word has c(w) / N; a word that no other document has counts half an occurrence. Null and empty
+    S(w | v) = c(v w) / c(v) where the n-gram v w occurs in other documents, else 0.4 * S(w | v less
+    its first word); v is the order - 1 words before w, or as many as there are, and without one S(w) =
+    c(w) / N; a word that no other document has counts half an occurrence. Null and empty
     texts have no words and a null score. Repeated rows are documents of their own; a null doc_id
     keeps its row; other columns are ignored; no rows give none.
     """
     blocks = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks, "block long, doc_ids array<long>, lengths array<int>, n long, vocabulary binary, words binary"), "blocks")
     total, n_blocks = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     parts = parts_for(total, part_words)
-    sent = blocks.mapInArrow(_counted(parts), "order int, part int, block long, keys binary, n binary")
+    sent = blocks.mapInArrow(_counted(parts, order), "order int, part int, block long, keys binary, n binary")
     # one task for each part of each table: its size is that of part_words n-grams, whatever the corpus
-    sent = sent.repartitionById(2 * parts, (F.col("order") - 1) * parts + F.col("part")).sortWithinPartitions("order", "part", "block")
+    sent = sent.repartitionById(order * parts, (F.col("order") - 1) * parts + F.col("part")).sortWithinPartitions("order", "part", "block")
     answers = sent.mapInArrow(_totals, "block long, order int, part int, totals binary")
     empty = F.array().cast("array<long>"), F.array().cast("array<int>")
     rows = blocks.select("block", F.lit(0).alias("order"), F.lit(0).alias("part"), "doc_ids", "lengths", "vocabulary", "words")
@@ -212,7 +218,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, part_words: int = PART_WORDS
     index = blocks.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("task"))
     rows = rows.join(small(index, n_blocks), "block").repartitionById(max(1, n_blocks), F.col("task")).drop("task")
     rows = rows.sortWithinPartitions("block", "order", "part")
-    return rows.mapInArrow(_scored(total), "doc_id long, n_words long, score double")
+    return rows.mapInArrow(_scored(total, order), "doc_id long, n_words long, score double")
 
 
 ORACLE = r"""
@@ -227,3 +233,21 @@ s AS (SELECT t.doc_id, t.n, t.a, u.c - du.c AS cb, ua.c - da.c AS ca, g.c - dg.c
 r AS (SELECT doc_id, sum(CASE WHEN cg > 0 THEN log10(cg / ca) WHEN a IS NULL THEN log10(greatest(cb, 0.5) / greatest(rest, 1)) ELSE log10(greatest(cb, 0.5) / greatest(rest, 1)) + log10(0.4) END) / any_value(n) AS score FROM s GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, round(score, 6) AS score FROM d LEFT JOIN r USING (doc_id)
 """
+
+#: The same at order 3.
+ORACLE_ORDER3 = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, w FROM d WHERE len(w) > 0),
+t AS (SELECT doc_id, n, w[i] AS c, CASE WHEN i > 1 THEN w[i-1] END AS b, CASE WHEN i > 2 THEN w[i-2] END AS a FROM p),
+u AS (SELECT c AS w, count(*) AS k FROM t GROUP BY c), du AS (SELECT doc_id, c AS w, count(*) AS k FROM t GROUP BY ALL),
+g AS (SELECT b, c, count(*) AS k FROM t WHERE b IS NOT NULL GROUP BY b, c), dg AS (SELECT doc_id, b, c, count(*) AS k FROM t WHERE b IS NOT NULL GROUP BY ALL),
+h AS (SELECT a, b, c, count(*) AS k FROM t WHERE a IS NOT NULL GROUP BY a, b, c), dh AS (SELECT doc_id, a, b, c, count(*) AS k FROM t WHERE a IS NOT NULL GROUP BY ALL),
+s AS (SELECT t.doc_id, t.n, t.a, t.b, u.k - du.k AS cc, ub.k - db.k AS cb, g.k - dg.k AS cbc, gab.k - dgab.k AS cab, h.k - dh.k AS cabc, (SELECT count(*) FROM t) - t.n AS rest
+  FROM t JOIN u ON u.w = t.c JOIN du ON du.doc_id = t.doc_id AND du.w = t.c LEFT JOIN u ub ON ub.w = t.b LEFT JOIN du db ON db.doc_id = t.doc_id AND db.w = t.b
+  LEFT JOIN g ON g.b = t.b AND g.c = t.c LEFT JOIN dg ON dg.doc_id = t.doc_id AND dg.b = t.b AND dg.c = t.c
+  LEFT JOIN g gab ON gab.b = t.a AND gab.c = t.b LEFT JOIN dg dgab ON dgab.doc_id = t.doc_id AND dgab.b = t.a AND dgab.c = t.b
+  LEFT JOIN h ON h.a = t.a AND h.b = t.b AND h.c = t.c LEFT JOIN dh ON dh.doc_id = t.doc_id AND dh.a = t.a AND dh.b = t.b AND dh.c = t.c),
+l AS (SELECT doc_id, n, a, cab, cabc, CASE WHEN cbc > 0 THEN log10(cbc / cb) ELSE log10(greatest(cc, 0.5) / greatest(rest, 1)) + CASE WHEN b IS NULL THEN 0 ELSE log10(0.4) END END AS two FROM s),
+r AS (SELECT doc_id, sum(CASE WHEN cabc > 0 THEN log10(cabc / cab) WHEN a IS NULL THEN two ELSE two + log10(0.4) END) / any_value(n) AS score FROM l GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, round(score, 6) AS score FROM d LEFT JOIN r USING (doc_id)
+"""

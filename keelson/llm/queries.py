@@ -50,7 +50,11 @@ def op10_lm_scores(spark, sf_dir):
     return lm.lm_scores(spark, read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_decontamination, op4_mixing, op5_sharding, op6_exact_dedup, op7_line_dedup, op8_wavelet, op9_licenses, op10_lm_scores)}
+def op10_lm_scores_order3(spark, sf_dir):
+    return lm.lm_scores(spark, read(spark, sf_dir, "documents"), order=3)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_decontamination, op4_mixing, op5_sharding, op6_exact_dedup, op7_line_dedup, op8_wavelet, op9_licenses, op10_lm_scores, op10_lm_scores_order3)}
 
 ORACLE = {
     "op3_decontamination": decontaminate.ORACLE,
@@ -59,4 +63,5 @@ ORACLE = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_licenses": licenses.ORACLE,
     "op10_lm_scores": lm.ORACLE,
+    "op10_lm_scores_order3": lm.ORACLE_ORDER3,
 }

@@ -1,10 +1,11 @@
 import math
 from collections import Counter
 
+import pytest
 from edges import crowded, edge_docs, rows
 from oracle import assert_same, connect
 
-from keelson.llm import lm
+from keelson.llm import lm, queries
 from keelson.llm.common import read
 
 
@@ -51,3 +52,36 @@ def test_edges(spark):
     assert all(o[2] == w[2] or abs(o[2] - w[2]) < 2e-6 for o, w in zip(out, want))
     assert rows(lm.lm_scores(spark, crowded(docs))) == out
     assert lm.lm_scores(spark, docs.limit(0)).count() == 0
+
+
+def plain_order(texts, order):
+    split = [(t or "").encode().lower().split() for t in texts]
+    grams = lambda w: Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    all_of = sum(map(grams, split), Counter())
+    total, out = sum(map(len, split)), []
+    for w in split:
+        own, logs = grams(w), []
+        left = lambda g: all_of[g] - own[g]
+        for i in range(len(w)):
+            n, penalty = min(order, i + 1), 0
+            while n > 1 and not left(tuple(w[i - n + 1 : i + 1])):
+                n, penalty = n - 1, penalty + math.log10(0.4)
+            g = tuple(w[i - n + 1 : i + 1])
+            logs.append(penalty + math.log10(left(g) / left(g[:-1]) if n > 1 else max(left(g), 0.5) / max(total - len(w), 1)))
+        out.append((len(w), round(sum(logs) / len(w), 6) if w else None))
+    return out
+
+
+def test_oracle_order3(spark):
+    folder = "/root/testdata/sf0.001"
+    assert_same(queries.op10_lm_scores_order3(spark, folder), connect(folder), queries.ORACLE["op10_lm_scores_order3"])
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_orders(spark, order):
+    docs = edge_docs(spark).union(read(spark, "/root/testdata/sf0.001", "documents").select(*edge_docs(spark).columns).limit(40))
+    data = docs.collect()
+    want = sorted(((r["doc_id"], *s) for r, s in zip(data, plain_order([r["text"] for r in data], order))), key=repr)
+    out = rows(lm.lm_scores(spark, docs.repartition(3), part_words=700, order=order))
+    assert [o[:2] for o in out] == [w[:2] for w in want]
+    assert all(o[2] == w[2] or abs(o[2] - w[2]) < 2e-6 for o, w in zip(out, want))

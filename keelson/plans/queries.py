@@ -505,6 +505,13 @@ def z_score(spark, d):
     return zsets.score(b.zset_customer(spark, d), asked)
 
 
+@query("SELECT c_nationkey::BIGINT AS key, c_name AS member, c_acctbal AS score FROM customer")
+def z_score_all(spark, d):
+    """The score of every customer."""
+    asked = b.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("key"), F.col("c_name").alias("member"))
+    return zsets.score(b.zset_customer(spark, d), asked)
+
+
 @query(f"SELECT key, member, score FROM {b.ZRANK} WHERE rank = n")
 def z_peek_max(spark, d):
     return zsets.peek_max(b.zset_customer(spark, d))

@@ -25,6 +25,10 @@ def test_query(spark, con, name):
     assert_same(ALL[name](spark, FOLDER), con, SQL[name])
 
 
+def test_score_of_all_members(spark):
+    assert ALL["z_score_all"](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/customer.parquet").count()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

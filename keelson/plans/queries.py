@@ -391,6 +391,26 @@ def set_are_members(spark, d):
     return sets.all_members(b.set_lineitem(spark, d), _asked(spark, d))
 
 
+_LINE_PAIRS = "SELECT l_suppkey AS key, l_partkey AS member FROM lineitem UNION SELECT l_suppkey, l_partkey + {} FROM lineitem"
+
+
+def _asked_lines(spark, d, shift):
+    """Each line's pair, and the same with its part key shifted."""
+    lines = b.table(spark, d, "lineitem")
+    return lines.select(F.col("l_suppkey").alias("key"), F.explode(F.array(F.col("l_partkey"), F.col("l_partkey") + shift)).alias("member"))
+
+
+@query(f"SELECT a.key, a.member, s.key IS NOT NULL AS present FROM ({_LINE_PAIRS.format('1')}) a LEFT JOIN {b.SET} s ON s.key = a.key AND s.member = a.member")
+def set_is_member_all(spark, d):
+    return sets.are_members(b.set_lineitem(spark, d), _asked_lines(spark, d, F.lit(1)))
+
+
+@query(f"SELECT a.key, bool_and(s.key IS NOT NULL) AS all_present FROM ({_LINE_PAIRS.format('l_suppkey % 2')}) a LEFT JOIN {b.SET} s ON s.key = a.key AND s.member = a.member GROUP BY a.key")
+def set_are_members_all(spark, d):
+    """Only odd keys are asked for shifted members, so that both answers occur."""
+    return sets.all_members(b.set_lineitem(spark, d), _asked_lines(spark, d, F.col("l_suppkey") % 2))
+
+
 @query(f"SELECT key, count(*) AS n FROM {b.SET} GROUP BY key")
 def set_card(spark, d):
     return sets.card(b.set_lineitem(spark, d))

@@ -29,6 +29,15 @@ def test_score_of_all_members(spark):
     assert ALL["z_score_all"](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/customer.parquet").count()
 
 
+def test_membership_of_all_pairs(spark):
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    pairs = {(r["l_suppkey"], r["l_partkey"]) for r in lines.collect()}
+    got = {(r["key"], r["member"]): r["present"] for r in ALL["set_is_member_all"](spark, FOLDER).collect()}
+    assert pairs <= set(got) and {p for p, present in got.items() if present} == pairs and not all(got.values())
+    answers = {r["key"]: r["all_present"] for r in ALL["set_are_members_all"](spark, FOLDER).collect()}
+    assert set(answers) == {k for k, _ in pairs} and set(answers.values()) == {True, False}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
 from .ttl import is_live
 
 
@@ -198,6 +199,15 @@ def iterate(state: DataFrame, seek=None, reverse: bool = False) -> DataFrame:
     return below.orderBy(F.col("key").desc()).select("key", "value")
 
 
+def iterate_numbered(state: DataFrame, seek=None, reverse: bool = False) -> DataFrame:
+    """The rows of iterate with pos, their place in it from 0: counted in each sorted part, no task holds all rows."""
+    rows = materialize(iterate(state, seek, reverse).withColumn("_id", F.monotonically_increasing_id()), "iteration")
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each part
+    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    return rows.join(F.broadcast(starts), part == F.col("_part")).select("key", "value", (F.col("_start") + place).alias("pos"))
+
+
 def pop(state: DataFrame, largest: bool = False) -> tuple[DataFrame, DataFrame]:
     """(the row with the least or largest key, the state without it)."""
     end = (F.max if largest else F.min)("key").alias("end")

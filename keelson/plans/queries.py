@@ -128,6 +128,21 @@ def kv_iter_seek_reverse(spark, d):
     return kv.iterate(b.kv_orders(spark, d), seek="00000004205", reverse=True).limit(50)
 
 
+@query(f"SELECT key, value, row_number() OVER (ORDER BY key DESC) - 1 AS pos FROM {b.KV}")
+def kv_iter_reverse_all(spark, d):
+    return kv.iterate_numbered(b.kv_orders(spark, d), reverse=True)
+
+
+@query(f"SELECT key, value, row_number() OVER (ORDER BY key) - 1 AS pos FROM {b.KV} WHERE key >= '00000004205'")
+def kv_iter_seek_all(spark, d):
+    return kv.iterate_numbered(b.kv_orders(spark, d), seek="00000004205")
+
+
+@query(f"SELECT key, value, row_number() OVER (ORDER BY key DESC) - 1 AS pos FROM {b.KV} WHERE key <= (SELECT min(key) FROM {b.KV} WHERE key >= '00000004205')")
+def kv_iter_seek_reverse_all(spark, d):
+    return kv.iterate_numbered(b.kv_orders(spark, d), seek="00000004205", reverse=True)
+
+
 @query(f"SELECT key, value FROM {b.KV} WHERE key = (SELECT min(key) FROM {b.KV})")
 def kv_pop_min(spark, d):
     return kv.pop(b.kv_orders(spark, d))[0].select("key", "value")

@@ -38,6 +38,17 @@ def test_membership_of_all_pairs(spark):
     assert set(answers) == {k for k, _ in pairs} and set(answers.values()) == {True, False}
 
 
+@pytest.mark.parametrize("name", ["kv_iter_reverse_all", "kv_iter_seek_all", "kv_iter_seek_reverse_all"])
+def test_iterations_are_whole(spark, name):
+    rows = sorted(ALL[name](spark, FOLDER).collect(), key=lambda r: r["pos"])
+    assert [r["pos"] for r in rows] == list(range(len(rows)))
+    keys = [r["key"] for r in rows]
+    assert keys == sorted(keys, reverse="reverse" in name)
+    orders = sorted(f"{r['o_orderkey']:010d}" for r in spark.read.parquet(f"{FOLDER}/orders.parquet").collect())
+    start = next((k for k in orders if k >= "00000004205"), None)
+    assert len(keys) == len([k for k in orders if "seek" not in name or (start is not None and (k <= start if "reverse" in name else k >= start))])
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -1,6 +1,6 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame operations only.
+"""Benchmark decontamination by MinHash containment search, in DataFrame operations only.
 
-Test items are partitioned by their number of distinct shingles. An item of n shingles that needs
+Sketches whose length follows each item's size replace a partitioning by size. An item of n shingles that needs
 ceil(t*n) of them in a document is sketched by its n-ceil(t*n)+1 smallest shingle hashes (the bottom
 of its MinHash order): a document that holds enough of the item misses too few shingles to miss the
 whole sketch, however long the document is, so the search dismisses no true match. Candidates are

@@ -38,8 +38,8 @@ def lines_of(html: Column) -> Column:
 
 
 def _digest(line: Column) -> Column:
-    """128 bits in two longs, so that lines of one host don't collide at any size."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
+    """128 bits in two longs (the constant first: it seeds the second hash), so that lines of one host don't collide at any size."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
 def drop_boilerplate(pages: DataFrame, host: str, lines: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:

@@ -23,6 +23,16 @@ def test_ratio_is_per_site(spark):
     assert out[110]["text"] == "x10"
 
 
+def test_lines_that_share_a_64_bit_hash(spark):
+    from pyspark.sql import functions as F
+
+    twins = ["boilerp0late0one", "aabeuhgnj b=ra6g"]
+    assert spark.createDataFrame([twins], "x string, y string").where(F.xxhash64("x") == F.xxhash64("y")).count() == 1
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{twins[i < 2]}</p><p>x{i}</p>") for i in range(4)], PAGES)
+    # each is on two pages, under the least number of three
+    assert {r["n_dropped"] for r in line_dedup.line_dedup(spark, pages).collect()} == {0}
+
+
 def test_edges(spark):
     data = [(1, None, None), (None, "not a url", "<p>a</p>"), (2, "", ""), (3, "http://h/x", "<p>a</p>" * 5), (3, "http://h/x", "<p>a</p>" * 5), (4, "http://h/y", "<p>a</p><p>" + "long " * 50_000 + "</p>")]
     pages = spark.createDataFrame(data, PAGES)

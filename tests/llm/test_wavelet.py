@@ -1,9 +1,12 @@
+import json
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from edges import LONG, crowded, edge_docs, rows
 from tokenizers import Tokenizer
 
@@ -43,6 +46,57 @@ def test_words_alone_make_the_ids_of_texts(tokenizer):
         assert own.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1], t
 
 
+def test_other_tokenizers_read_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    texts = ["It's O'Neil's 100,000 %%% a.b -- x0y", "two  spaces here\n\nnew", "", None, "Été ΣΑΣ 漢字 🙂"]
+    ids, lengths = wavelet.Encoder(path)(pa.array(texts))
+    for t, own in zip(texts, np.split(ids, np.cumsum(lengths)[:-1])):
+        assert own.tolist() == [*other.encode(t or "", add_special_tokens=False).ids, 1], t
+    docs = read(spark, "/root/testdata/sf0.001", "documents").limit(50)
+    got = wavelet.token_shards(spark, docs, path, shard_bytes=20_000)
+    assert sorted(map(tuple, got.collect())) == expected(docs.collect(), other)
+
+
+def test_which_tokenizers_are_read_word_by_word():
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    assert wavelet.by_words(spec)
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"added_tokens": [{"content": "ab."}]}, {"added_tokens": [{"content": "<a b>"}]}):
+        assert not wavelet.by_words(spec | change), change
+    assert not wavelet.by_words(json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()))
+
+
+def test_ids_over_16_bits():
+    ids = np.random.default_rng(1).integers(0, 1 << 20, 3000).astype(np.uint32)
+    m = wavelet.WaveletMatrix(wavelet.build(ids, [7], np.array([3000]), planes=20))
+    assert (m.decode() == ids).all() and m.access(1234) == ids[1234] and m.count(int(ids[5])) == (ids == ids[5]).sum()
+
+
+def test_words_forgotten_are_learnt_again(monkeypatch, tokenizer):
+    monkeypatch.setattr(wavelet, "_WORDS", 40)
+    rng = np.random.default_rng(2)
+    encode = wavelet.Encoder(PATH)
+    for _ in range(6):
+        texts = [" ".join(f"{'abcdefgh'[a]}x{'stuvwxyz'[b]}é," for a, b in rng.integers(0, 8, (30, 2))) for _ in range(3)]
+        ids, lengths = encode(pa.array(texts))
+        for t, own in zip(texts, np.split(ids, np.cumsum(lengths)[:-1])):
+            assert own.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aZéÉßſŉİıÿŸ'.,$!09 \n\t\r\x0b\x0c\x85\xa0\u0300\u0308\u030c\u0331×÷"), st.characters(codec="utf-8")), max_size=30), max_size=6))
+def test_any_texts(texts):
+    whole = Tokenizer.from_file(PATH) if "t" not in _kept else _kept["t"]
+    _kept["t"] = whole
+    ids, lengths = wavelet.Encoder(PATH)(pa.array(texts, pa.string()))
+    assert len(lengths) == len(texts) and lengths.sum() == len(ids)
+    for t, own in zip(texts, np.split(ids, np.cumsum(lengths)[:-1])):
+        assert own.tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1], t
+
+
+_kept: dict = {}
+
+
 def test_queries_on_a_file():
     rng = np.random.default_rng(3)
     ids = (rng.zipf(1.3, 5000) % 49408).astype(np.uint16)

@@ -40,15 +40,36 @@ def pieces_of(texts: pa.Array, table: np.ndarray) -> tuple[pa.Array, np.ndarray]
     return flat, after + np.arange(len(ends))
 
 
-def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of all texts, and for each pair of a text and a word that it holds the number of
     the text and of the word. Words are lower-cased runs of ASCII letters and non-ASCII characters."""
     flat, ends = pieces_of(texts, WORDS)
     coded = flat.dictionary_encode()
     low = pc.utf8_lower(pc.ascii_rtrim(coded.dictionary, " ")).dictionary_encode()
-    words, real = low.dictionary.to_pylist(), np.asarray(pc.binary_length(low.dictionary)) > 0
+    words, real = low.dictionary, np.asarray(pc.binary_length(low.dictionary)) > 0
     word = np.asarray(low.indices)[np.asarray(coded.indices)]
     text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
-    held = real[word]
-    pairs = np.unique(text[held] * np.int64(max(len(words), 1)) + word[held])
-    return words, pairs // max(len(words), 1), pairs % max(len(words), 1)
+    held, n = real[word], np.int64(max(len(words), 1))
+    pairs = np.sort(text[held] * n + word[held])
+    pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+    return words, pairs // n, pairs % n
+
+
+def prefix_sums(words: pa.Array, lengths: tuple[int, ...]):
+    """For each length, and last for whole words: the places of the words longer than that (all but empty ones
+    for whole words), and 64-bit hashes of their first so many bytes. No word is a Python object."""
+    words = words.cast(pa.large_string())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    start, size = offsets[:-1] - offsets[0], np.diff(offsets)
+    with np.errstate(over="ignore"):
+        # a sum of bytes times odd numbers that go with their place in the word, modulo 2**64
+        powers = np.cumprod(np.full(int(size.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        run = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(start, size)], out=run[1:])
+        for tag, n in enumerate((*lengths, None)):
+            at = np.flatnonzero(size > (n or 0))
+            x = run[start[at] + (size[at] if n is None else n)] - run[start[at]] + np.uint64(tag + 1) * np.uint64(0xD1B54A32D192ED03)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+            yield at, x ^ (x >> np.uint64(31))

@@ -1,17 +1,16 @@
 """Toxicity: a logistic classifier with counterfactual regularisation.
 
-Texts become sets of hashed word and word-prefix features. Labelled texts that mention an identity
-term are also read with the term swapped for its neighbour in the same list and for a neutral noun;
-a squared penalty on the change of the logit keeps the score from leaning on the group named.
+A text is the set of its distinct words; a word stands for itself and its prefixes, hashed into one
+space, and the logit is the sum of its words' weights. Labelled texts that mention an identity term are
+also read with the term swapped for its neighbour in the same list and for a neutral noun; labelled
+texts that mention none are read with a term put before their first word, and the same swaps. A
+squared penalty on the change of the logit keeps the score from leaning on the group named.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .texts import CHUNK_BYTES, distinct_words, prefix_sums, slices
 
 # Groups of interchangeable identity terms, and the neutral noun put in their place.
 IDENTITY_TERMS = (
@@ -34,37 +34,35 @@ IDENTITY_TERMS = (
 )
 NEUTRAL = "person"
 
-#: Prefixes counted, and the numbers of a text's distinct words with a prefix that are features of their own.
-PREFIXES, TIMES = (4, 5, 6, 7), (2, 4)
-_WORD = re.compile(r"[^\W\d_]+")
-_CACHE_LIMIT = 60_000
-_ids: dict[str, tuple[int, ...]] = {}
+#: Lengths in bytes of the prefixes counted, and the bits of the space of features.
+PREFIXES, BITS = (4, 5, 6, 7), 20
+#: Bounds of the sample that is learnt from: labelled texts of each class, and those of them that are read with swaps.
+PER_CLASS, SWAPPED = 3_000, 2_000
 
 
-def _feature_ids(word: str) -> tuple[int, ...]:
-    found = _ids.get(word)
-    if found is None:
-        if len(_ids) >= _CACHE_LIMIT:
-            _ids.clear()
-        names = [f"w {word}", *(f"p {word[:n]}" for n in PREFIXES if len(word) > n)]
-        found = _ids[word] = tuple(zlib.crc32(x.encode()) for x in names)
-    return found
+def feature_ids(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(place of a word, feature) for each feature of each word."""
+    found = [(at, (h >> np.uint64(64 - BITS)).astype(np.int64)) for at, h in prefix_sums(words, PREFIXES)]
+    return np.concatenate([a for a, _ in found]), np.concatenate([i for _, i in found])
 
 
-def features(text: str | None) -> set[int]:
-    """32-bit ids of a text's distinct words, of their prefixes, and of prefixes that several of them share."""
-    times = Counter(chain.from_iterable(map(_feature_ids, set(_WORD.findall((text or "").lower())))))
-    ids = set(times)
-    for i, n in times.items():
-        if n > 1:
-            ids.update((i * 31 + t) & 0xFFFFFFFF for t in TIMES if n >= t)
-    return ids
+def features(text: str | None) -> dict[int, int]:
+    """How many of a text's distinct words have each feature."""
+    ids, n = np.unique(feature_ids(distinct_words(pa.array([text or ""]))[0])[1], return_counts=True)
+    return dict(zip(ids.tolist(), n.tolist()))
 
 
+_TERMS = [t for g in IDENTITY_TERMS for t in g]
 _NEXT = {t: g[(i + 1) % len(g)] for g in IDENTITY_TERMS for i, t in enumerate(g)}
 _TERM = re.compile(r"\b(" + "|".join(sorted(_NEXT, key=lambda t: (-len(t), t))) + r")\b")
 
 
+def mention(text: str | None) -> str:
+    """The text in lower case; one that names no identity term gets one before its first word."""
+    low = (text or "").lower()
+    return low if _TERM.search(low) else f"{_TERMS[zlib.crc32(low.encode('utf-8', 'surrogatepass')) % len(_TERMS)]} {low}"
+
+
 def counterfactuals(text: str | None) -> list[str]:
     """The text with each identity term swapped in its list, and with the neutral noun; [] if none is named."""
     low = (text or "").lower()
@@ -73,120 +71,146 @@ def counterfactuals(text: str | None) -> list[str]:
     return [_TERM.sub(lambda m: _NEXT[m[0]], low), _TERM.sub(NEUTRAL, low)]
 
 
+def changes(text: str | None) -> list[dict[int, int]]:
+    """What the swaps change in the features of the text's mention, a table for each swap."""
+    named, out = mention(text), []
+    words = lambda t: {*distinct_words(pa.array([t]))[0].to_pylist()}
+    before = words(named)
+    for other in counterfactuals(named):
+        after = words(other)
+        ids = [feature_ids(pa.array(sorted(x), pa.large_string()))[1] for x in (after - before, before - after)]
+        used, at = np.unique(np.concatenate(ids), return_inverse=True)
+        n = np.bincount(at, np.repeat([1, -1], [*map(len, ids)]), len(used)).astype(int)
+        out.append({i: k for i, k in zip(used.tolist(), n.tolist()) if k})
+    return out
+
+
 class Model:
-    """Weights by feature id; as many as features were chosen."""
+    """A weight for each feature, and how many swapped pairs were learnt from."""
+
+    def __init__(self, weights: np.ndarray, bias: float, pairs: int = 0):
+        self.weights, self.bias, self.pairs = weights, float(bias), pairs
 
-    def __init__(self, weights: dict[int, float], bias: float):
-        self.weights, self.bias = weights, float(bias)
-        self._known = frozenset(weights)
+    def of_words(self, words: pa.Array) -> np.ndarray:
+        at, ids = feature_ids(words)
+        return np.bincount(at, self.weights[ids], len(words))
 
-    def score_ids(self, ids: set[int]) -> float:
-        x = self.bias + sum(self.weights[i] for i in sorted(self._known.intersection(ids)))
-        return 1 / (1 + math.exp(-min(max(x, -30.0), 30.0)))
+    def score_all(self, texts: pa.Array) -> np.ndarray:
+        out = np.empty(len(texts))
+        for a, b in slices(texts, CHUNK_BYTES):
+            words, text, word = distinct_words(texts.slice(a, b - a))
+            out[a:b] = np.bincount(text, self.of_words(words)[word], b - a) + self.bias
+        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
     def score(self, text: str | None) -> float:
-        return self.score_ids(features(text))
-
-
-def train(rows: list[tuple[int, list[int], list[list[int]]]], penalty: float = 1.0, l2: float = 2e-3, steps: int = 300) -> Model:
-    """rows: (label, feature ids, feature ids of each counterfactual). Full-batch Adam on the
-    cross-entropy plus penalty times the mean squared change of the logit under the swaps. A feature
-    is scaled by its naive Bayes log ratio, so that rare words that go with one class count at once."""
-    used = np.array(sorted({i for _, ids, cf in rows for x in (ids, *cf) for i in x}), dtype=np.int64)
-    label = np.array([r[0] for r in rows], dtype=np.float64)
-    if not len(rows) or not len(used):
-        rate = (label.sum() + 0.5) / (len(rows) + 1) if len(rows) else 0.25
-        return Model({}, np.log(rate / (1 - rate)))
-
-    def matrix(sets):
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        col = np.searchsorted(used, np.fromiter((i for s in sets for i in s), np.int64))
-        return row, col
-
-    row, col = matrix([r[1] for r in rows])
-    pairs = [(k, cf) for k, r in enumerate(rows) for cf in r[2]]
-    base = np.array([k for k, _ in pairs], dtype=np.int64)
-    crow, ccol = matrix([cf for _, cf in pairs])
-    n, d, m = len(rows), len(used), len(pairs)
+        return float(self.score_all(pa.array([text or ""]))[0])
+
+
+def _sparse(tables: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values of tables of features."""
+    row = np.repeat(np.arange(len(tables), dtype=np.int32), [len(t) for t in tables])
+    col = np.fromiter((i for t in tables for i in t), np.int64, len(row))
+    return row, col, np.fromiter((v for t in tables for v in t.values()), np.float64, len(row))
+
+
+def train(x, label, swaps, weight=None, penalty: float = 1.0, l2: float = 1e-3, steps: int = 80, rate: float = 0.05) -> Model:
+    """x, swaps: (row, column, value) arrays of the texts' features and of the changes under swaps; label and
+    weight of each text. Full-batch Adam on the weighted mean cross-entropy plus penalty times the mean
+    squared change of the logit. A feature is scaled by its naive Bayes log ratio, so that rare words
+    that go with one class count at once."""
+    label = np.asarray(label, np.float64)
+    n, m = len(label), int(swaps[0].max()) + 1 if len(swaps[0]) else 0
+    weight = np.ones(n) if weight is None else np.asarray(weight, np.float64)
+    rate_of = (weight * label).sum() / max(weight.sum(), 1e-9) if n else 0.25
+    out = np.zeros(1 << BITS)
+    b = np.log((rate_of + 1e-3) / (1 - rate_of + 1e-3))
+    used = np.unique(np.concatenate([x[1], swaps[1]]))
+    if not n or not len(used):
+        return Model(out, b)
+    d, row, crow = len(used), x[0], swaps[0]
+    at = np.zeros(1 << BITS, np.int32)
+    at[used] = np.arange(d)
+    col, ccol = at[x[1]], at[swaps[1]]
     toxic, clean = np.bincount(col, label[row], d), np.bincount(col, 1 - label[row], d)
     scale = np.abs(np.log((toxic + 0.5) / (label.sum() + 1) * ((1 - label).sum() + 1) / (clean + 0.5))) + 0.1
-    v, b = np.zeros(d), np.log((label.mean() + 1e-3) / (1 - label.mean() + 1e-3))
-    mom, var, mb, vb = np.zeros(d), np.zeros(d), 0.0, 0.0
+    value, cvalue = (a.astype(np.float32) * scale.astype(np.float32)[c] for a, c in ((x[2], col), (swaps[2], ccol)))
+    del x, swaps
+    v, mom, var, mb, vb = np.zeros(d), np.zeros(d), np.zeros(d), 0.0, 0.0
     for t in range(1, steps + 1):
-        w = scale * v
-        z = np.bincount(row, w[col], n) + b
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) / n
-        on_row = err.copy()
-        grad = np.zeros(d)
+        z = np.bincount(row, value * v.astype(np.float32)[col], n) + b
+        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * weight / weight.sum()
+        grad = np.bincount(col, value * err.astype(np.float32)[row], d) + l2 * v
         if m:
-            change = 2 * penalty * (z[base] - np.bincount(crow, w[ccol], m) - b) / m
-            np.add.at(on_row, base, change)
-            grad -= np.bincount(ccol, change[crow], d)
-        grad = scale * (grad + np.bincount(col, on_row[row], d)) + l2 * v
+            change = 2 * penalty * np.bincount(crow, cvalue * v[ccol], m) / m
+            grad += np.bincount(ccol, cvalue * change[crow], d)
         gb = err.sum()
         mom, var = 0.9 * mom + 0.1 * grad, 0.999 * var + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-        v -= 0.05 * (mom / c1) / (np.sqrt(var / c2) + 1e-9)
-        b -= 0.05 * (mb / c1) / (np.sqrt(vb / c2) + 1e-9)
-    return Model(dict(zip(used.tolist(), (scale * v).tolist())), b)
+        v -= rate * (mom / c1) / (np.sqrt(var / c2) + 1e-9)
+        b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-9)
+    out[used] = scale * v
+    return Model(out, b, m)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, n_features: int = 2_048, penalty: float = 1.0, only=None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, swapped: int = SWAPPED, penalty: float = 1.0, only=None) -> Model:
     """Fit on a bounded sample: at most per_class labelled documents of each class, those with the
-    smallest hash of their id. only: a condition on labels' doc_id that rows to learn from must meet.
+    smallest hash of their id, weighted so that the classes count as they do among all labels, the toxic one
+    by the root of its rarity more; swapped of them are read with identity terms swapped. All
+    features are kept. only: a condition on labels' doc_id that rows to learn from must meet.
 
     Rows with a null doc_id or label are not learnt from; a document with several labels is toxic if
     any says so. No labelled rows: a constant model.
     """
-    spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.where(only) if only is not None else known
-    known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("_label"))
+    known = materialize(known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("_label")), "known-labels")
+    of_class = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}  # two rows
     picked = [known.where(F.col("_label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     # at most 2 * per_class rows of an id and a label
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("_label", "text"), "toxicity-sample")
-    sample = sample.repartition(max(2, spark.sparkContext.defaultParallelism))
-
-    def expand(batches):
-        for b in batches:
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = list(features(text))
-                yield pa.record_batch([pa.array([y] * len(ids), pa.int32()), pa.array(ids, pa.int64())], names=["y", "id"])
-
-    counts = sample.mapInArrow(expand, "y int, id long").groupBy("id").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    totals = sample.agg(F.sum("_label"), F.count("*")).first()
-    n1, n0 = totals[0] or 0, totals[1] - (totals[0] or 0)
-    a, c = (F.col("p") + 0.5) / (n1 + 1.0), (F.col("q") + 0.5) / (n0 + 1.0)
-    gain = F.abs(F.log(a / c)) * F.sqrt(F.col("p") * (1.0 / (n1 + 1)) + F.col("q") * (1.0 / (n0 + 1)))
-    # bounded: n_features ids
-    chosen = {r[0] for r in counts.where(F.col("p") + F.col("q") >= 3).orderBy(gain.desc(), "id").limit(n_features).select("id").collect()}
-    chosen |= {i for group in IDENTITY_TERMS for t in group for i in _feature_ids(t)}
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("_label", "text", F.xxhash64("doc_id").alias("at"))
+    sample = materialize(sample, "toxicity-sample").repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism))
+    # the hash below which about `swapped` of the sample lie
+    below = min(1.0, swapped / max(1, sum(min(n, per_class) for n in of_class.values())))
+    below = int(below * (1 << 64)) - (1 << 63)
 
     def vectors(batches):
         for b in batches:
-            ys, ids, cfs = [], [], []
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ys.append(y)
-                ids.append(sorted(features(text) & chosen))
-                cfs.append([sorted(features(x) & chosen) for x in counterfactuals(text)])
-            yield pa.record_batch([pa.array(ys, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(cfs, pa.list_(pa.list_(pa.int64())))], names=["y", "ids", "cfs"])
-
-    found = sample.mapInArrow(vectors, "y int, ids array<long>, cfs array<array<long>>").toArrow()
-    rows = sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), found.column(2).to_pylist()))
-    return train(rows, penalty)
+            for y, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                found = [(y, features(text))] + [(-1, c) for c in (changes(text) if zlib.crc32(at.to_bytes(8, "little", signed=True)) * (1 << 32) - (1 << 63) < below else [])]
+                yield pa.record_batch(
+                    [pa.array([at] * len(found)), pa.array([k for k, _ in found], pa.int32()), pa.array([[*t] for _, t in found], pa.list_(pa.int32())), pa.array([[*t.values()] for _, t in found], pa.list_(pa.int32()))],
+                    names=["at", "y", "ids", "n"],
+                )
+
+    found = sample.mapInArrow(vectors, "at long, y int, ids array<int>, n array<int>").toArrow().combine_chunks()
+    found = found.take(np.lexsort([np.asarray(found["at"]), np.asarray(found["y"])]))  # one order, wherever rows were made
+    y = np.asarray(found["y"])
+
+    def matrix(rows: pa.Table):
+        ids, n = rows["ids"].combine_chunks(), rows["n"].combine_chunks()
+        count = np.diff(np.asarray(ids.offsets))
+        return np.repeat(np.arange(len(count), dtype=np.int32), count), np.asarray(ids.flatten()), np.asarray(n.flatten()).astype(np.float32)
+
+    real, swaps = found.filter(pa.array(y >= 0)), found.filter(pa.array(y < 0))
+    del found
+    label = y[y >= 0]
+    rare = (of_class.get(0, 0) / of_class[1]) ** 0.5 if of_class.get(1) else 1.0
+    here = [max(1, int((label == c).sum())) for c in (0, 1)]
+    weight = np.where(label == 1, of_class.get(1, 0) / here[1] * rare, of_class.get(0, 0) / here[0])
+    return train(matrix(real), label, matrix(swaps), weight, penalty)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """All rows of docs with a score column from 0 to 1; null and empty texts get the model's base rate."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # a number for each chosen feature
-
-    @F.pandas_udf("double")
-    def of(texts):
-        import pandas as pd
-
-        m = Model(*shared.value)
-        return pd.Series([m.score(t) for t in texts], dtype="float64")
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))  # 4 MB, whatever the data
+    models: list[Model] = []
+
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
+        if not models:
+            models.append(Model(*shared.value))
+        return pa.array(models[0].score_all(texts))
 
     return docs.withColumn(name, of(F.col(text)))
 

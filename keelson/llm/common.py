@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, new_path, shared_dir  # noqa: F401
 
-#: Rows up to which a slim table (a few longs a row) is broadcast; above, joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table is broadcast; above, joins shuffle. And what a row of a few longs takes.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
 
 #: Separators of words: ASCII other than digits and letters (upper case is folded before).
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a check of the table's size; beyond the bound the join shuffles."""
-    return F.broadcast(df) if rows <= bound else df
+def small(df: DataFrame, rows: int, size: int = 0) -> DataFrame:
+    """Broadcast hint behind a check of the table's bytes: those of slim rows, and size for strings and arrays;
+    beyond the bound the join shuffles."""
+    return F.broadcast(df) if rows * ROW_BYTES + (size or 0) <= BROADCAST_BYTES else df
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -29,9 +30,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def fold(text: Column) -> Column:
+    """A-Z in lower case, and no other letter changed; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    ascii_only = F.length(text) == F.octet_length(text)  # then lower() does the same, faster
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def words(text: Column) -> Column:
-    """Lower-cased words of letters, digits and non-ASCII characters; null counts as empty."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NON_WORD), "")
+    """Words of letters, digits and non-ASCII characters, A-Z lower-cased; null counts as empty."""
+    return F.array_remove(F.split(fold(text), NON_WORD), "")
 
 
 def sliding(items: Column, k: int, make) -> Column:

@@ -89,7 +89,7 @@ def plan(spark: SparkSession, docs: DataFrame, domain: Column, weights: dict, sh
     leaf = materialize(leaf, "plan")
     n_leaf = leaf.count()
     named = leaf.select(*[F.col(c).alias(f"p_{c}") for c in LEVELS], "budget", "epochs", "rest")
-    keyed = slim.join(small(named, n_leaf, 100_000), _same_leaf()).withColumn("key", order_key(seed, F.col("epochs"), F.col("doc_id")))
+    keyed = slim.join(small(named, n_leaf), _same_leaf()).withColumn("key", order_key(seed, F.col("epochs"), F.col("doc_id")))
     keyed = keyed.withColumn("slice", F.floor(F.col("key") / (2**60 // slices)).cast("int"))
     sums = keyed.groupBy(*LEVELS, "slice").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
     run = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,7 +100,7 @@ def plan(spark: SparkSession, docs: DataFrame, domain: Column, weights: dict, sh
     on = (F.col("slice") == F.col("cut_slice"))
     for c in LEVELS:
         on = on & F.col(c).eqNullSafe(F.col(f"s_{c}"))
-    ends = keyed.join(small(cut, n_leaf, 100_000), on)
+    ends = keyed.join(small(cut, n_leaf), on)
     inner = Window.partitionBy(*LEVELS).orderBy("key", "text_hash")  # rows equal in both are taken or left together
     ends = ends.withColumn("upto", F.col("before") + F.sum("n_tokens").over(inner)).where("upto <= rest")
     last = ends.groupBy(*[F.col(c).alias(f"e_{c}") for c in LEVELS]).agg(F.max(F.struct("key", "text_hash")).alias("last"))
@@ -109,7 +109,7 @@ def plan(spark: SparkSession, docs: DataFrame, domain: Column, weights: dict, sh
         on = F.lit(True)
         for c in LEVELS:
             on = on & F.col(c).eqNullSafe(F.col(f"{side}_{c}"))
-        out = out.join(small(x, n_leaf, 100_000), on, "left").drop(*[f"{side}_{c}" for c in LEVELS])
+        out = out.join(small(x, n_leaf), on, "left").drop(*[f"{side}_{c}" for c in LEVELS])
     return slim, materialize(out.select(*LEVELS, "n_tokens", "budget", "epochs", "rest", "cut_slice", "last"), "cuts")
 
 
@@ -117,7 +117,7 @@ def copies(rows: DataFrame, leaves: DataFrame, seed: int, slices: int = SLICES)
     """rows (doc_id, domain, lang, source, text_hash, ...) with copies: how often each is taken. One pass, no shuffle
     while the tree is small."""
     named = leaves.select(*[F.col(c).alias(f"p_{c}") for c in LEVELS], "budget", "epochs", "cut_slice", "last")
-    out = rows.join(small(named, leaves.count(), 100_000), _same_leaf(), "left").drop(*[f"p_{c}" for c in LEVELS])
+    out = rows.join(small(named, leaves.count()), _same_leaf(), "left").drop(*[f"p_{c}" for c in LEVELS])
     key = order_key(seed, F.col("epochs"), F.col("doc_id"))
     out = out.withColumn("_key", key)
     piece = F.floor(F.col("_key") / (2**60 // slices)).cast("int")

@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline as cp
 from edges import crowded, edge_docs
-from test_decontaminate import shingles
+from test_decontaminate import held, shingles
 from test_sharding import check
 from test_simhash import plain_components, plain_fingerprint
 
@@ -28,7 +28,7 @@ def test_stages(spark):
 
     apart = materialize(cp.drop_leaks(spark, once, FOLDER), "t")
     items = [shingles(r["text"]) for r in read(spark, FOLDER, "benchmark").collect()]
-    free = [r["doc_id"] for r in once.collect() if not any(10 * len(s & shingles(r["text"])) >= 8 * len(s) for s in items if s)]
+    free = [r["doc_id"] for r in once.collect() if not any(10 * held(r["text"], s) >= 8 * len(s) for s in items if s)]
     assert sorted(r["doc_id"] for r in apart.collect()) == sorted(free)
 
     mixed = materialize(cp.to_weights(spark, apart, FOLDER), "t")

@@ -39,3 +39,21 @@ def integer_text(value: Column) -> Column:
 def add_text(value: Column, n: Column) -> Column:
     """A decimal text plus n, as text; null where the text is no integer of up to 38 digits."""
     return (integer_text(value) + n.cast("decimal(38,0)")).cast("string")
+
+
+def add_long_text(value: Column, n: Column) -> Column:
+    """A decimal text of any length plus another, as text; null where one is no integer."""
+
+    @F.arrow_udf("string")
+    def added(a, b):
+        import re
+        import sys
+
+        import pyarrow as pa
+
+        sys.set_int_max_str_digits(0)
+        integer = re.compile(r"[+-]?[0-9]+\Z")
+        both = ((x, y) for x, y in zip(a.to_pylist(), b.to_pylist()))
+        return pa.array([str(int(x) + int(y)) if x and y and integer.match(x) and integer.match(y) else None for x, y in both], pa.string())
+
+    return added(value, n)

@@ -1,4 +1,5 @@
-"""Sorted-set state (bucket_id, key, member, score), one row for each member; order (score, member)."""
+"""Sorted-set state (bucket_id, key, member, score), one row for each member of a
+set, which is named by bucket and key; order (score, member)."""
 
 from __future__ import annotations
 
@@ -9,20 +10,24 @@ from ..functions.globs import matches
 from .kv import literal
 
 
+#: What names a set.
+SET = ("bucket_id", "key")
+
+
 def _order():
-    return Window.partitionBy("key").orderBy("score", "member")
+    return Window.partitionBy(*SET).orderBy("score", "member")
 
 
 def _reversed():
-    return Window.partitionBy("key").orderBy(F.col("score").desc(), F.col("member").desc())
+    return Window.partitionBy(*SET).orderBy(F.col("score").desc(), F.col("member").desc())
 
 
-def members(state: DataFrame, key) -> DataFrame:
-    return state.where(F.col("key") == literal(key)).select("member", "score")
+def members(state: DataFrame, bucket_id: int, key) -> DataFrame:
+    return state.where((F.col("bucket_id") == bucket_id) & (F.col("key") == literal(key))).select("member", "score")
 
 
 def card(state: DataFrame) -> DataFrame:
-    return state.groupBy("key").agg(F.count("*").alias("n"))
+    return state.groupBy(*SET).agg(F.count("*").alias("n"))
 
 
 def in_score(start: float, end: float, exclude_start: bool = False, exclude_end: bool = False) -> Column:
@@ -42,12 +47,12 @@ def range_by_score(state: DataFrame, start: float, end: float, limit: int = 0, e
 def count(state: DataFrame, start: float, end: float, limit: int = 0, exclude_start: bool = False, exclude_end: bool = False) -> DataFrame:
     """How many range_by_score returns: counted without ordering."""
     n = F.count("*")
-    return state.where(in_score(start, end, exclude_start, exclude_end)).groupBy("key").agg((F.least(n, F.lit(limit)) if limit > 0 else n).cast("long").alias("n"))
+    return state.where(in_score(start, end, exclude_start, exclude_end)).groupBy(*SET).agg((F.least(n, F.lit(limit)) if limit > 0 else n).cast("long").alias("n"))
 
 
 def ranked(state: DataFrame) -> DataFrame:
     """rank from 1 by (score, member), and rev_rank from the other end."""
-    n = F.count("*").over(Window.partitionBy("key"))
+    n = F.count("*").over(Window.partitionBy(*SET))
     out = state.withColumn("rank", F.row_number().over(_order()))
     return out.withColumn("rev_rank", (n - F.col("rank") + 1).cast("int"))
 
@@ -64,7 +69,7 @@ def range_by_rank(state: DataFrame, start: int, end: int) -> DataFrame:
     start beyond end gives falling order (pos)."""
     if 0 < start <= end:  # a group limit below the window
         return state.withColumn("rank", F.row_number().over(_order())).where(F.col("rank") <= end).where(F.col("rank") >= start).withColumn("pos", F.col("rank") - start + 1)
-    n = F.count("*").over(Window.partitionBy("key"))
+    n = F.count("*").over(Window.partitionBy(*SET))
     a, b = _bounds(F.col("n"), start, end)
     out = state.withColumn("rank", F.row_number().over(_order())).withColumn("n", n)
     out = out.where(F.col("rank").between(F.least(a, b), F.greatest(a, b)))
@@ -76,22 +81,22 @@ def range_by_rank(state: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def remove_range_by_rank(state: DataFrame, start: int, end: int) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy("key"))
+    n = F.count("*").over(Window.partitionBy(*SET))
     a, b = _bounds(F.col("n"), start, end)
     out = state.withColumn("rank", F.row_number().over(_order())).withColumn("n", n)
     return out.where(~F.col("rank").between(F.least(a, b), F.greatest(a, b))).drop("n", "rank")
 
 
 def score(state: DataFrame, asked: DataFrame) -> DataFrame:
-    return state.join(asked, ["key", "member"]).select("key", "member", "score")
+    return state.join(asked, [*SET, "member"]).select(*SET, "member", "score")
 
 
 def peek_max(state: DataFrame) -> DataFrame:
-    return state.groupBy("key").agg(F.max(F.struct("score", "member")).alias("m")).select("key", "m.member", "m.score")
+    return state.groupBy(*SET).agg(F.max(F.struct("score", "member")).alias("m")).select(*SET, "m.member", "m.score")
 
 
 def peek_min(state: DataFrame) -> DataFrame:
-    return state.groupBy("key").agg(F.min(F.struct("score", "member")).alias("m")).select("key", "m.member", "m.score")
+    return state.groupBy(*SET).agg(F.min(F.struct("score", "member")).alias("m")).select(*SET, "m.member", "m.score")
 
 
 def pop(state: DataFrame, largest: bool = True) -> DataFrame:
@@ -100,8 +105,8 @@ def pop(state: DataFrame, largest: bool = True) -> DataFrame:
 
 
 def remove(state: DataFrame, gone: DataFrame) -> DataFrame:
-    return state.join(gone, ["key", "member"], "left_anti")
+    return state.join(gone, [*SET, "member"], "left_anti")
 
 
 def keys(state: DataFrame, pattern: str = "*") -> DataFrame:
-    return state.where(matches(F.col("key").cast("string"), pattern)).select("key").distinct()
+    return state.where(matches(F.col("key").cast("string"), pattern)).select(*SET).distinct()

@@ -7,6 +7,8 @@ index, trims) are folded in order, in one group for each key; all others stay on
 
 from __future__ import annotations
 
+from bisect import insort
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,23 +96,44 @@ _LFOLD = (Flag.LPOP, Flag.RPOP, Flag.LREM, Flag.LTRIM, Flag.LREMBYINDEX)
 _PUSH = (Flag.LPUSH, Flag.RPUSH)
 
 
+def _list_ops(log: DataFrame) -> DataFrame:
+    return log.where((F.col("ds") == int(Ds.LIST)) & F.col("flag").isin(*[int(f) for f in (*_PUSH, *_LFOLD)]))
+
+
+def _raw(log: DataFrame) -> Column:
+    """Whether a row is a push that brings its place along."""
+    return (F.col("arg1").isNotNull() if "arg1" in log.columns else F.lit(False)) & F.col("flag").isin(*map(int, _PUSH))
+
+
+def _list_kinds(log: DataFrame) -> DataFrame:
+    """bucket_id, key and whether the list had other operations than pushes, some raw pushes, raw pushes only."""
+    pushes = F.col("flag").isin(*map(int, _PUSH))
+    return _list_ops(log).groupBy("bucket_id", "key").agg(F.max(~pushes).alias("_folded"), F.max(_raw(log)).alias("_some"), F.min(_raw(log)).alias("_all"))
+
+
 def lists(log: DataFrame, now_ms: int | None = None) -> DataFrame:
     """bucket_id, key, list_seq, value; with a clock, without the lists whose time is over.
 
-    A list that was only pushed to needs no fold: the k-th push to the tail has place k and the k-th
-    to the head place -k.
+    A push to the tail goes past the largest place so far, one to the head before the smallest, and a
+    raw push brings its place along. A list that was only pushed to needs no fold: the k-th push to the tail has place k
+    and the k-th to the head place 1-k; and if all its pushes are raw, the last at each place stays.
     """
-    ops = log.where((F.col("ds") == int(Ds.LIST)) & F.col("flag").isin(*[int(f) for f in (*_PUSH, *_LFOLD)]))
-    folded_keys = ops.where(F.col("flag").isin(*map(int, _LFOLD))).select("bucket_id", "key").distinct()
-    plain = ops.join(folded_keys, ["bucket_id", "key"], "left_anti")
+    raw, ops = _raw(log), _list_ops(log)
+    kinds = _list_kinds(log)
+    kinds = kinds.select("bucket_id", "key", F.when(~F.col("_folded") & ~F.col("_some"), 0).when(~F.col("_folded") & F.col("_all"), 1).otherwise(2).alias("_kind"))
+    ops = ops.join(kinds, ["bucket_id", "key"])
     nth = F.row_number().over(Window.partitionBy("bucket_id", "key", "flag").orderBy(*SEQ))
-    given = F.col("arg1") if "arg1" in log.columns else F.lit(None)  # a push may bring its place along
-    place = F.coalesce(given, F.when(F.col("flag") == int(Flag.RPUSH), nth).otherwise(-nth))
-    plain = plain.select("bucket_id", "key", place.cast("long").alias("list_seq"), "value")
-    rest = ops.join(folded_keys, ["bucket_id", "key"], "left_semi").select("bucket_id", "key", *SEQ, "flag", "value", "arg1", "arg2", "idx")
-    kind = dict(log.dtypes)["key"], dict(log.dtypes)["value"]
-    folded = rest.groupBy("bucket_id", "key").applyInPandas(_fold_list, f"bucket_id long, key {kind[0]}, list_seq long, value {kind[1]}")
-    out = plain.union(folded)
+    place = F.when(F.col("flag") == int(Flag.RPUSH), nth).otherwise(1 - nth)
+    out = ops.where("_kind = 0").select("bucket_id", "key", place.cast("long").alias("list_seq"), "value")
+    if "arg1" in log.columns:
+        placed = ops.where("_kind = 1").withColumn("list_seq", F.col("arg1").cast("long"))
+        out = out.union(last_writer(placed, ["bucket_id", "key", "list_seq"], ["value"]))
+        # pandas has no whole numbers with nulls: those are told apart by a column of their own
+        value = F.coalesce("value", F.lit(0)).alias("value") if dict(log.dtypes)["value"] in ("bigint", "int") else F.col("value")
+        numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("arg1", "arg2")]
+        rest = ops.where("_kind = 2").select("bucket_id", "key", *SEQ, "flag", value, raw.alias("given"), *numbers, "idx")
+        kind = dict(log.dtypes)["key"], dict(log.dtypes)["value"]
+        out = out.union(rest.groupBy("bucket_id", "key").applyInPandas(_fold_list, f"bucket_id long, key {kind[0]}, list_seq long, value {kind[1]}"))
     if now_ms is not None:
         over = list_meta(log).where(~is_live(now_ms)).select("bucket_id", "key")
         out = out.join(over, ["bucket_id", "key"], "left_anti")
@@ -123,55 +146,54 @@ def list_meta(log: DataFrame) -> DataFrame:
     return last_writer(ops, ["bucket_id", "key"], ["ttl_s", "ts_ms"])
 
 
-def fold_list(ops) -> list:
-    """ops: (flag, value, arg1, arg2, idx) in order. The elements that are left, head first."""
-    from collections import deque
-
-    held: deque = deque()
-    for flag, value, arg1, arg2, idx in ops:
-        if flag == Flag.RPUSH:
-            held.append(value)
-        elif flag == Flag.LPUSH:
-            held.appendleft(value)
+def fold_list(ops) -> list[tuple[int, object]]:
+    """ops: (flag, value, given, arg1, arg2, idx) in order; given: a push at place arg1. The places and
+    elements that are left, head first."""
+    places, held, head, tail = [], {}, 0, 1  # head and tail: where the next pushes go
+    for flag, value, given, arg1, arg2, idx in ops:
+        n, gone = len(places), []
+        if flag in _PUSH:
+            left = flag == Flag.LPUSH
+            at = arg1 if given else head if left else tail
+            if left:
+                head = min(head, at - 1)
+            else:
+                tail = max(tail, at + 1)
+            if at not in held:
+                insort(places, at)
+            held[at] = value
         elif flag == Flag.LPOP:
-            if held:
-                held.popleft()
+            gone = [0] if n else []
         elif flag == Flag.RPOP:
-            if held:
-                held.pop()
+            gone = [n - 1] if n else []
         elif flag == Flag.LREM:
-            left, kept = abs(int(arg1)) or len(held), []
-            for x in held if arg1 >= 0 else reversed(held):
-                if x == value and left:
-                    left -= 1
-                else:
-                    kept.append(x)
-            held = deque(kept if arg1 >= 0 else reversed(kept))
+            equal = [i for i, p in enumerate(places) if held[p] == value]
+            gone = equal if arg1 == 0 else equal[:arg1] if arg1 > 0 else equal[arg1:]
         elif flag == Flag.LTRIM:
-            n = len(held)
-            a = int(arg1) + n if arg1 < 0 and arg2 != 0 else int(arg1)
-            b = int(arg2) + n if arg2 < 0 else int(arg2)
-            held = deque(x for i, x in enumerate(held) if a <= i <= b)
+            a = arg1 + n if arg1 < 0 and arg2 != 0 else arg1
+            b = arg2 + n if arg2 < 0 else arg2
+            gone = [i for i in range(n) if not a <= i <= b]
         elif flag == Flag.LREMBYINDEX:
-            gone = {int(i) for i in idx}
-            held = deque(x for i, x in enumerate(held) if i not in gone)
-    return [*held]
+            gone = sorted({int(i) for i in idx if 0 <= i < n})
+        for i in reversed(gone):
+            del held[places.pop(i)]
+    return [(p, held[p]) for p in places]
 
 
 def _fold_list(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(list(SEQ))
-    left = fold_list(zip(pdf.flag, pdf.value, pdf.arg1, pdf.arg2, pdf.idx))
-    return _frame(key, pdf, list_seq=pd.Series(range(1, len(left) + 1), dtype="int64"), value=pd.Series(left, dtype=pdf.value.dtype))
+    left = fold_list(zip(pdf.flag, pdf.value, pdf.given, pdf.arg1.tolist(), pdf.arg2.tolist(), pdf.idx))
+    return _frame(key, pdf, list_seq=pd.Series([p for p, _ in left], dtype="int64"), value=pd.Series([v for _, v in left], dtype=pdf.value.dtype))
 
 
-def deque_fold(ops: DataFrame, key: str, order: list[str], kind: Column, value: str) -> DataFrame:
-    """Final elements of each key's deque as an array, head first, by an ordered fold inside the JVM.
+def deque_fold(ops: DataFrame, by: list[str], order: list[str], kind: Column, value: str) -> DataFrame:
+    """Final elements of each deque as an array, head first, by an ordered fold inside the JVM.
 
     kind: 'R' push to the tail, 'L' to the head, 'l' pop of the head, 'r' of the tail; pops of an
-    empty list do nothing.
+    empty list do nothing. A step copies the elements held: for short deques.
     """
-    rows = ops.select(key, F.struct(*order, kind.alias("kind"), F.col(value).alias("value")).alias("op")).where(F.col("op.kind").isNotNull())
-    history = rows.groupBy(key).agg(F.array_sort(F.collect_list("op")).alias("ops"))
+    rows = ops.select(*by, F.struct(*order, kind.alias("kind"), F.col(value).alias("value")).alias("op")).where(F.col("op.kind").isNotNull())
+    history = rows.groupBy(*by).agg(F.array_sort(F.collect_list("op")).alias("ops"))
     item = f"array<{dict(ops.dtypes)[value]}>"
 
     def step(held, op):
@@ -184,7 +206,7 @@ def deque_fold(ops: DataFrame, key: str, order: list[str], kind: Column, value:
             .otherwise(F.slice(held, F.lit(1), F.greatest(size - 1, F.lit(0))))
         )
 
-    return history.select(key, F.aggregate("ops", F.array().cast(item), step).alias("elements"))
+    return history.select(*by, F.aggregate("ops", F.array().cast(item), step).alias("elements"))
 
 
 def committed(log: DataFrame, commits: DataFrame) -> DataFrame:
@@ -206,8 +228,9 @@ def as_log(log: DataFrame, commit_seq: int, now_ms: int | None = None) -> DataFr
     """The shortest log with the same state: what compaction writes. Emptied keys keep a row."""
     names = log.columns
 
-    def rows(df: DataFrame, ds: Ds, flag: Flag, **columns) -> DataFrame:
-        fixed = {"commit_seq": F.lit(commit_seq).cast("long"), "ds": F.lit(int(ds)).cast("short"), "flag": F.lit(int(flag)).cast("short")}
+    def rows(df: DataFrame, ds: Ds, flag: Flag | Column, **columns) -> DataFrame:
+        flag = flag if isinstance(flag, Column) else F.lit(int(flag))
+        fixed = {"commit_seq": F.lit(commit_seq).cast("long"), "ds": F.lit(int(ds)).cast("short"), "flag": flag.cast("short")}
         have = fixed | {"bucket_id": F.col("bucket_id"), "key": F.col("key")} | columns
         have.setdefault("op_seq", F.lit(0).cast("long"))
         return df.select(*[(have[c] if c in have else F.lit(None)).cast(log.schema[c].dataType).alias(c) for c in names])
@@ -216,7 +239,12 @@ def as_log(log: DataFrame, commit_seq: int, now_ms: int | None = None) -> DataFr
     out = rows(kv(log, now_ms), Ds.KV, Flag.SET, value=F.col("value"), ttl_s=F.col("ttl_s"), ts_ms=F.col("ts_ms"))
     out = out.union(rows(sets(log), Ds.SET, Flag.SET, value=F.col("member")))
     out = out.union(rows(zsets(log), Ds.ZSET, Flag.ZADD, value=F.col("member"), score=F.col("score")))
-    out = out.union(rows(pushes, Ds.LIST, Flag.RPUSH, value=F.col("value"), op_seq=F.col("_n")))
+    # lists that had raw pushes keep their places, others their order
+    kept = pushes.join(_list_kinds(log).where("_some").select("bucket_id", "key"), ["bucket_id", "key"], "left_semi")
+    plain = pushes.join(_list_kinds(log).where("_some").select("bucket_id", "key"), ["bucket_id", "key"], "left_anti")
+    out = out.union(rows(plain, Ds.LIST, Flag.RPUSH, value=F.col("value"), op_seq=F.col("_n")))
+    side = F.when(F.col("list_seq") > 0, int(Flag.RPUSH)).otherwise(int(Flag.LPUSH))
+    out = out.union(rows(kept, Ds.LIST, side, value=F.col("value"), arg1=F.col("list_seq"), op_seq=F.col("_n")))
     out = out.union(rows(list_meta(log), Ds.LIST, Flag.EXPIRELIST, ttl_s=F.col("ttl_s"), ts_ms=F.col("ts_ms")))
     for ds in (Ds.SET, Ds.ZSET, Ds.LIST):
         out = out.union(rows(known_keys(log, ds), ds, Flag.KEY))

@@ -87,6 +87,19 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
+def kv_updates(log: DataFrame) -> DataFrame:
+    """Streaming last-writer-wins state of a log stream (commit_seq, op_seq, bucket_id, key, ...): the last row of each key so far."""
+    rest = [c for c in log.columns if c not in ("bucket_id", "key")]
+    last = log.groupBy("bucket_id", "key").agg(F.max_by(F.struct(*rest), F.struct("commit_seq", "op_seq")).alias("l"))
+    return last.select("bucket_id", "key", "l.*")
+
+
+def newest(updates: DataFrame, by: list[str]) -> DataFrame:
+    """The last update of each key: of a table that a stream in update mode wrote."""
+    rest = [c for c in updates.columns if c not in by]
+    return updates.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct("commit_seq", "op_seq")).alias("l")).select(*by, "l.*")
+
+
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Process all that is there into a table in the shared folder and read it back."""
     spark, schema = stream.sparkSession, stream.schema

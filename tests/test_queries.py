@@ -25,27 +25,19 @@ def test_query(spark, con, name):
     assert_same(ALL[name](spark, FOLDER), con, SQL[name])
 
 
-def test_score_of_all_members(spark):
-    assert ALL["z_score_all"](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/customer.parquet").count()
+def test_no_query_is_empty_on_both_sides(spark, con):
+    for name, sql in SQL.items():
+        assert con.execute(f"SELECT count(*) FROM ({sql})").fetchone()[0] > 0, name
 
 
-def test_membership_of_all_pairs(spark):
-    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
-    pairs = {(r["l_suppkey"], r["l_partkey"]) for r in lines.collect()}
-    got = {(r["key"], r["member"]): r["present"] for r in ALL["set_is_member_all"](spark, FOLDER).collect()}
-    assert pairs <= set(got) and {p for p, present in got.items() if present} == pairs and not all(got.values())
-    answers = {r["key"]: r["all_present"] for r in ALL["set_are_members_all"](spark, FOLDER).collect()}
-    assert set(answers) == {k for k, _ in pairs} and set(answers.values()) == {True, False}
-
-
-@pytest.mark.parametrize("name", ["kv_iter_reverse_all", "kv_iter_seek_all", "kv_iter_seek_reverse_all"])
+@pytest.mark.parametrize("name", ["kv_iter_reverse", "kv_iter_seek", "kv_iter_seek_reverse"])
 def test_iterations_are_whole(spark, name):
     rows = sorted(ALL[name](spark, FOLDER).collect(), key=lambda r: r["pos"])
     assert [r["pos"] for r in rows] == list(range(len(rows)))
     keys = [r["key"] for r in rows]
     assert keys == sorted(keys, reverse="reverse" in name)
-    orders = sorted(f"{r['o_orderkey']:010d}" for r in spark.read.parquet(f"{FOLDER}/orders.parquet").collect())
-    start = next((k for k in orders if k >= "00000004205"), None)
+    orders = sorted(f"{r['o_orderkey'] // 2:010d}" for r in spark.read.parquet(f"{FOLDER}/orders.parquet").collect() if r["o_orderkey"] % 2 == 0)
+    start = next((k for k in orders if k >= "0000000420x"), None)
     assert len(keys) == len([k for k in orders if "seek" not in name or (start is not None and (k <= start if "reverse" in name else k >= start))])
 
 

@@ -19,6 +19,22 @@ OPS = st.lists(
 )
 
 
+def test_raw_pushes_and_others(spark):
+    """A push goes past the largest place, before the smallest; places survive pops and compaction."""
+    ops = [(Flag.RPUSH, b"a", b"x100", 100), (Flag.RPUSH, b"a", b"after", None), (Flag.RPUSH, b"a", b"x5", 5), (Flag.LPUSH, b"a", b"first", None)]
+    ops += [(Flag.RPUSH, b"b", b"later", 20), (Flag.RPUSH, b"b", b"earlier", 10), (Flag.RPUSH, b"b", b"y", None), (Flag.RPOP, b"b", None, None)]
+    ops += [(Flag.RPUSH, b"c", b"old", 7), (Flag.RPUSH, b"c", b"seven", 7), (Flag.LPUSH, b"c", b"three", 3), (Flag.RPUSH, b"d", b"p", None), (Flag.LPUSH, b"d", b"q", None), (Flag.LPUSH, b"d", b"r", None)]
+    rows = [(i, 0, int(Ds.LIST), 1, int(f), k, v, None, a, None, None, 0, 0) for i, (f, k, v, a) in enumerate(ops)]
+    log = spark.createDataFrame(rows, OPLOG)
+    want = {b"a": [b"first", b"x5", b"x100", b"after"], b"b": [b"earlier", b"later"], b"c": [b"three", b"seven"], b"d": [b"r", b"q", b"p"]}
+    assert replayed(log)[2] == want
+    small = replay.as_log(log, 100)
+    assert replayed(small)[2] == want
+    more = [(200, 0, int(Ds.LIST), 1, int(Flag.RPUSH), b"a", b"x50", None, 50, None, None, 0, 0), (201, 0, int(Ds.LIST), 1, int(Flag.LPUSH), b"b", b"head", None, None, None, None, 0, 0)]
+    after = replayed(small.union(spark.createDataFrame(more, OPLOG)))[2]
+    assert after[b"a"] == [b"first", b"x5", b"x50", b"x100", b"after"] and after[b"b"] == [b"head", b"earlier", b"later"]
+
+
 def model(ops):
     kv, sets, lists, zsets = {}, {}, {}, {}
     for i, (ds, flag, key, value, a, b) in enumerate(ops):

@@ -3,7 +3,8 @@
 Lines are counted per host as the number of the host's pages that hold them, and a line that more
 than max_ratio of the pages hold is dropped from all of them. Frequencies of a host's lines above the ratio
 sum to its mean number of distinct lines a page, so a host has at most (that mean / max_ratio)
-boilerplate lines: they are gathered into one row for each host, and pages look them up.
+boilerplate lines: they are gathered into one row for each host, and pages look them up: by broadcast up to a bound
+in bytes, and beyond it by a join on the host, which adaptive execution splits for hosts with very many pages.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialize, small
 
-MAX_RATIO = 0.1
-MIN_PAGES = 3
+#: A line on more than this part of a host's pages is boilerplate.
+MAX_RATIO = 0.5
+#: An option that is off at 1: lines on fewer pages stay. At 1 a host's only page has all its lines on all pages, and loses them.
+MIN_PAGES = 1
 
 # Patterns that turn markup into lines.
 UNSEEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
@@ -53,17 +56,19 @@ def drop_boilerplate(pages: DataFrame, host: str, lines: str, max_ratio: float =
     found = counts.join(small(totals, n_hosts), F.col(h).eqNullSafe(F.col("t"))).where(F.col("count") > F.col("pages") * max_ratio)
     found = materialize(found.groupBy(h).agg(F.collect_list("d").alias(common)), "boilerplate")
     held = found.agg(F.sum(F.size(common))).first()[0] or 0
-    out = pages.join(small(found, held), F.col(host).eqNullSafe(F.col(h)), "left").drop(h)
+    out = pages.join(small(found, 0, held * 40), F.col(host).eqNullSafe(F.col(h)), "left").drop(h)
+    # the page's own boilerplate by hashing, so that a line is compared with no other of its host
+    out = out.withColumn(common, F.array_intersect(F.transform(F.col(lines), _digest), F.col(common)))
     keep = F.filter(F.col(lines), lambda x: ~F.array_contains(F.col(common), _digest(x)))
-    return out.withColumn("kept", F.when(F.col(common).isNull(), F.col(lines)).otherwise(keep)).drop(common)
+    return out.withColumn("kept", F.when(F.coalesce(F.size(common), F.lit(0)) <= 0, F.col(lines)).otherwise(keep)).drop(common)
 
 
 def line_dedup(spark: SparkSession, pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, host, n_lines, n_dropped, text (the lines kept, joined by newlines) for each row of pages.
 
     A null or malformed url has the host ''; a null page has no lines; a line repeated on a page
-    counts once for that page and is dropped each time; repeated rows are pages of their own. Other columns are
-    ignored; no rows give none.
+    counts once for that page and is dropped each time; repeated rows are pages of their own. A very
+    long page is one row of lines; a line at exactly the ratio stays. Other columns are ignored; no rows give none.
     """
     split = materialize(pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines")), "lines")
     out = drop_boilerplate(split, "host", "lines", max_ratio, min_pages)

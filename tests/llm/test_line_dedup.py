@@ -17,7 +17,7 @@ def test_ratio_is_per_site(spark):
     page = "<html><body><script>x('</p>')</script><nav>Home</nav><p>story {i}</p><p>Home</p><!-- <p>gone</p> --><p>a &amp; b &lt;{i}&gt;</p></body></html>"
     data = [(i, f"https://User@One.example/{i}", page.format(i=i)) for i in range(20)]
     data += [(100 + i, f"http://two.example:80/{i}", f"<p>Home</p><p>{'rare' if i < 3 else 'other'}</p><p>x{i}</p>") for i in range(40)]
-    out = {r["page_id"]: r for r in line_dedup.line_dedup(spark, spark.createDataFrame(data, PAGES)).collect()}
+    out = {r["page_id"]: r for r in line_dedup.line_dedup(spark, spark.createDataFrame(data, PAGES), max_ratio=0.1).collect()}
     assert out[3]["host"] == "one.example" and out[3]["text"] == "story 3\na & b <3>" and out[3]["n_dropped"] == 2
     assert out[100]["host"] == "two.example" and out[100]["text"] == "rare\nx0"  # 3 of 40 is under the ratio
     assert out[110]["text"] == "x10"
@@ -29,10 +29,25 @@ def test_lines_that_share_a_64_bit_hash(spark):
     twins = ["boilerp0late0one", "aabeuhgnj b=ra6g"]
     assert spark.createDataFrame([twins], "x string, y string").where(F.xxhash64("x") == F.xxhash64("y")).count() == 1
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{twins[i < 2]}</p><p>x{i}</p>") for i in range(4)], PAGES)
-    # each is on two pages, under the least number of three
+    # each is on two of four pages, which is not more than half
     assert {r["n_dropped"] for r in line_dedup.line_dedup(spark, pages).collect()} == {0}
 
 
+def test_the_option_of_least_pages(spark):
+    pages = spark.createDataFrame([(1, "http://one/a", "<p>only</p>"), (2, "http://two/a", "<p>x</p><p>y</p>"), (3, "http://two/b", "<p>x</p>")], PAGES)
+    text = lambda **k: {r["page_id"]: r["text"] for r in line_dedup.line_dedup(spark, pages, **k).collect()}
+    assert text() == {1: "", 2: "y", 3: ""} and text(min_pages=2) == {1: "only", 2: "y", 3: ""}
+
+
+def test_join_beyond_the_broadcast(spark, monkeypatch):
+    from keelson.llm import common
+
+    pages = read(spark, "/root/testdata/sf0.001", "pages")
+    want = rows(line_dedup.line_dedup(spark, pages))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert rows(line_dedup.line_dedup(spark, pages)) == want
+
+
 def test_edges(spark):
     data = [(1, None, None), (None, "not a url", "<p>a</p>"), (2, "", ""), (3, "http://h/x", "<p>a</p>" * 5), (3, "http://h/x", "<p>a</p>" * 5), (4, "http://h/y", "<p>a</p><p>" + "long " * 50_000 + "</p>")]
     pages = spark.createDataFrame(data, PAGES)

@@ -2,7 +2,8 @@
 
 Every rolling k-gram hash of a document is joined to the places of the same k-gram in the templates.
 A hit votes for the diagonal (document place - template place); votes of a diagonal are summed, runs
-of neighbouring diagonals are merged, and the spans they cover are verified against the template.
+of neighbouring diagonals are merged, and the spans they cover are verified against the template: its k-grams must
+stand in the template's order, in a span that is not much longer than the template.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ TEXTS = (
 PHRASE_GRAM, TEXT_GRAM = 2, 4
 #: Diagonals this near are one match with words put in or left out.
 BAND = 3
-#: Part of a passage's k-grams that a verified span holds.
-COVERAGE = 0.6
+#: Part of a passage's k-grams that a verified span holds in order, and its length at most, as a multiple of theirs.
+COVERAGE, STRETCH = 0.6, 2
 
 
 def templates(spark: SparkSession, phrases=PHRASES, texts=TEXTS) -> DataFrame:
@@ -81,8 +82,8 @@ def hits(docs: DataFrame, grams: DataFrame, n_grams: int) -> DataFrame:
 def spans(found: DataFrame, band: int = BAND, coverage: float = COVERAGE) -> DataFrame:
     """row, kind, label, first, last (grams' places in the document), part: verified matches.
 
-    part is the share of the template's distinct grams that the merged diagonals hold; a phrase
-    needs all of them on one diagonal."""
+    part is the share of the template's grams that the merged diagonals hold in the template's order; a
+    phrase needs all of them on one diagonal."""
     diagonal = found.withColumn("diagonal", F.col("at") - F.col("place"))
     votes = diagonal.groupBy("row", "kind", "template", "label", "n_grams", "diagonal").agg(
         F.count_distinct("place").alias("votes"), F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last")
@@ -91,21 +92,28 @@ def spans(found: DataFrame, band: int = BAND, coverage: float = COVERAGE) -> Dat
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     runs = votes.where("kind = 1").withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= band, 0).otherwise(1))
     runs = runs.withColumn("run", F.sum("new").over(order))
-    merged = runs.groupBy("row", "kind", "template", "label", "n_grams", "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"), F.min("first").alias("first"), F.max("last").alias("last"))
+    # each gram of the template once, at its first place in the run's span
+    grams = runs.select("row", "kind", "template", "label", "n_grams", "run", "diagonal", F.explode("places").alias("place"))
+    grams = grams.groupBy("row", "kind", "template", "label", "n_grams", "run", "place").agg(F.min(F.col("diagonal") + F.col("place")).alias("at"))
+    along = Window.partitionBy("row", "template", "run").orderBy("place")
+    grams = grams.withColumn("held", F.when(F.coalesce(F.col("at") > F.lag("at").over(along), F.lit(True)), 1).otherwise(0))
+    merged = grams.groupBy("row", "kind", "template", "label", "n_grams", "run").agg(F.sum("held").alias("held"), F.min("at").alias("first"), F.max("at").alias("last"))
     part = F.col("held") / F.col("n_grams")
-    return phrases.union(merged.where(part >= coverage).select("row", "kind", "label", "first", "last", part.alias("part")))
+    verified = merged.where((part >= coverage) & (F.col("last") - F.col("first") + 1 <= F.col("n_grams") * STRETCH))
+    return phrases.union(verified.select("row", "kind", "label", "first", "last", part.alias("part")))
 
 
-def license_scan(spark: SparkSession, docs: DataFrame, band: int = BAND, coverage: float = COVERAGE) -> DataFrame:
+def license_scan(spark: SparkSession, docs: DataFrame, band: int = BAND, coverage: float = COVERAGE, phrases=PHRASES, texts=TEXTS) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs.
 
     The base are the places at which all words of a phrase stand in a row. labels adds those of the
     passages of which a text holds the coverage or more; score is the largest part held of any
     template (1 for a phrase), 0 if none. Null and empty texts have no words, no labels ('') and
-    score 0. Repeated rows are scanned each; other columns are ignored; no rows give none.
+    score 0. A very long text is one row of words; of several spans that verify, all count. phrases and texts are pairs
+    (phrase, label) and (label, text): whole license texts may be given. Repeated rows are scanned each; other columns are ignored; no rows give none.
     """
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    grams = materialize(templates(spark), "templates")
+    grams = materialize(templates(spark, phrases, texts), "templates")
     found = materialize(hits(numbered, grams, grams.count()), "hits")
     per = summary(spans(found.where("kind >= 0"), band, coverage)).withColumnRenamed("row", "r")
     every = found.where("kind = -1").select("row", "doc_id", "n_words")
@@ -134,7 +142,7 @@ def _values() -> str:
     return ", ".join("({}, {}, '{}', '{}')".format(i, kind, label, text.replace("'", "''")) for i, (kind, label, text) in enumerate(rows))
 
 
-_SPLIT = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_SPLIT = r"list_filter(string_split_regex(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 ORACLE = f"""
 WITH d AS (SELECT doc_id, {_SPLIT.format("text")} AS w FROM documents),
 t AS (SELECT template, kind, label, {_SPLIT.format("txt")} AS w, CASE kind WHEN 0 THEN {PHRASE_GRAM} ELSE {TEXT_GRAM} END AS k FROM (VALUES {_values()}) v(template, kind, label, txt)),
@@ -143,8 +151,10 @@ dg AS (SELECT doc_id, k, i - 1 AS at_word, array_to_string(w[i:i + k - 1], ' ')
 votes AS (SELECT doc_id, template, kind, label, n_grams, at_word - place AS diagonal, count(DISTINCT place) AS votes, list(DISTINCT place) AS places FROM dg JOIN tg USING (k, g) GROUP BY ALL),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM
   (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {BAND} THEN 0 ELSE 1 END AS fresh FROM votes WHERE kind = 1)),
+firsts AS (SELECT doc_id, kind, template, label, n_grams, run, place, min(diagonal + place) AS spot FROM (SELECT *, unnest(places) AS place FROM runs) GROUP BY ALL),
+ordered AS (SELECT *, CASE WHEN coalesce(spot > lag(spot) OVER (PARTITION BY doc_id, template, run ORDER BY place), true) THEN 1 ELSE 0 END AS held FROM firsts),
 spans AS (SELECT doc_id, kind, label, diagonal AS spot, 1.0::DOUBLE AS part FROM votes WHERE kind = 0 AND votes = n_grams
-  UNION ALL SELECT doc_id, kind, label, NULL, len(list_distinct(flatten(list(places)))) / n_grams AS part FROM runs GROUP BY doc_id, kind, template, label, n_grams, run HAVING len(list_distinct(flatten(list(places)))) / n_grams >= {COVERAGE}),
+  UNION ALL SELECT doc_id, kind, label, NULL, sum(held) / n_grams AS part FROM ordered GROUP BY doc_id, kind, template, label, n_grams, run HAVING sum(held) / n_grams >= {COVERAGE} AND max(spot) - min(spot) + 1 <= n_grams * {STRETCH}),
 s AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_base, min(spot) FILTER (kind = 0) AS first_word, max(spot) FILTER (kind = 0) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (kind = 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, round(max(part), 6) AS score FROM spans GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM d LEFT JOIN s USING (doc_id)

@@ -42,6 +42,23 @@ def test_passages_with_changed_words(spark):
     assert out[7]["n_base"] == 0
 
 
+def test_spans_are_verified(spark):
+    w = licenses.TEXTS[0][1].split()
+    blocks = [w[i : i + 6] for i in range(0, len(w), 6)]
+    backwards = " ".join(x for b in reversed(blocks) for x in b)
+    spread = " ".join(" ".join(b) + " " + " ".join(f"filler{i}" for i in range(3)) for b in blocks)
+    data = [(1, " ".join(w)), (2, backwards), (3, spread), (4, " ".join(w) + " and then " + " ".join(w))]
+    out = {r["doc_id"]: r["labels"] for r in licenses.license_scan(spark, spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert out == {1: "mit", 2: "", 3: "", 4: "mit"}
+
+
+def test_other_templates(spark):
+    own = [("own", " ".join(f"term{i}" for i in range(400)))]
+    docs = spark.createDataFrame([(1, own[0][1]), (2, "mit license")], "doc_id long, text string")
+    out = {r["doc_id"]: (r["base_labels"], r["labels"]) for r in licenses.license_scan(spark, docs, phrases=[("term1 term2", "one")], texts=own).collect()}
+    assert out == {1: ("one", "one,own"), 2: ("", "")}
+
+
 def test_edges(spark):
     docs = edge_docs(spark)
     out = licenses.license_scan(spark, docs)

@@ -92,6 +92,27 @@ class WriteLimitExceeded(KeelsonError): ...
 class NothingToCompact(KeelsonError): ...
 
 
+class TooLarge(KeelsonError):
+    """A key, a value, or both together over the limit of an entry."""
+
+
+class TooManyTransactions(KeelsonError): ...
+
+
+class StoreClosed(TxClosed): ...
+
+
+class CallbackTimeout(KeelsonError): ...
+
+
+def is_store_closed(e: BaseException) -> bool:
+    return isinstance(e, StoreClosed)
+
+
+def is_too_large(e: BaseException) -> bool:
+    return isinstance(e, TooLarge)
+
+
 def is_key_not_found(e: BaseException) -> bool:
     return isinstance(e, KeyNotFound)
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import CallbackTimeout
 from ..schema import OPLOG, Flag
 from ..sources.oplog import OpLog
 
@@ -35,11 +36,35 @@ def messages(log: OpLog, batch: DataFrame) -> DataFrame:
 class Watcher:
     """A running feed of one bucket's key (or of the whole bucket, without a key)."""
 
-    def __init__(self, log: OpLog, bucket_ids: dict[int, str], key: bytes | None, callback, checkpoint: str, batch: int = 128):
+    def __init__(self, log: OpLog, bucket_ids: dict[int, str], key: bytes | None, callback, checkpoint: str, batch: int = 128, timeout: float | None = None):
         self._log, self._ids, self._key, self._callback, self._checkpoint, self._batch = log, bucket_ids, key, callback, checkpoint, batch
-        self._query, self.deleted, self.error = None, threading.Event(), None
+        self._query, self.deleted, self.error, self._timeout = None, threading.Event(), None, timeout
+        self._ready = threading.Event()
+
+    def _call(self, rows: list) -> None:
+        """The callback, which must be done in time: else the feed ends with CallbackTimeout, and this batch comes again."""
+        if self._timeout is None:
+            self._callback(rows)
+            return
+        failed: list[BaseException] = []
+
+        def run():
+            try:
+                self._callback(rows)
+            except BaseException as error:
+                failed.append(error)
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+        thread.join(self._timeout)
+        if thread.is_alive():
+            failed.append(CallbackTimeout(f"{self._timeout} s"))
+        if failed:
+            self.error = failed[0]
+            raise failed[0]
 
     def _deliver(self, batch: DataFrame, _epoch: int) -> None:
+        self._ready.set()
         if self.deleted.is_set():
             return
         rows = messages(self._log, batch).where(F.col("bucket_id").isin([*self._ids]))
@@ -56,10 +81,10 @@ class Watcher:
                 break
             held.append(r)
             if len(held) >= self._batch:
-                self._callback(held)
+                self._call(held)
                 held = []
         if held:
-            self._callback(held)
+            self._call(held)
 
     def start(self, once: bool = False) -> Watcher:
         writer = manifests(self._log.spark, self._log.root).writeStream.foreachBatch(self._deliver).option("checkpointLocation", self._checkpoint)
@@ -67,6 +92,10 @@ class Watcher:
         self._query = writer.start()
         return self
 
+    def wait_ready(self, seconds: float | None = None) -> bool:
+        """Until the feed has read the commits that were there; false when the time is over first."""
+        return self._ready.wait(seconds)
+
     def wait(self, seconds: float | None = None) -> None:
         """Until the feed ends: stopped, failed, or the bucket deleted."""
         waited = 0.0

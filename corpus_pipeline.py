@@ -6,7 +6,10 @@ return the columns of documents, and any others that docs has.
 
 Nulls, empty texts, repeated rows and empty tables are handled as the operators' docstrings say: a
 null or empty text is scored like any other, is a near copy of other empty ones, contains no
-benchmark item, has no tokens (a leaf of such texts only is left out), and takes one byte of a shard.
+benchmark item, has no tokens (a leaf of such texts only is left out), and takes one byte of a shard. Very long texts
+pass whole through each stage. Ties: a score of exactly 0.5 is rejected; of near copies with one doc_id the text with the smallest hash
+stays; rows equal in doc_id and text are kept or dropped, and taken by the mixture, together. Columns that docs has beyond those of documents
+come along under their names, whatever they are called; helper columns take other names.
 """
 
 from __future__ import annotations

@@ -50,7 +50,7 @@ def _one_language(slim: DataFrame) -> DataFrame:
 def _cuts(rows: DataFrame, nodes: DataFrame, n: int, key: Column) -> DataFrame:
     """For each of the n nodes(node, dim, want, before, low, high) the key at which before and the running sum of
     sizes, in order of the key, reach want: node, at, before (the bytes below it), mass (those at it)."""
-    open_nodes, found = materialize(nodes.withColumn("mass", F.lit(0).cast("long")), "cuts"), None
+    open_nodes, found = nodes, None
     while n:
         bins = max(LEAST_BINS, min(BINS, ALL_BINS // n))
         inside = rows.join(small(open_nodes, n), "node").withColumn("key", key).where("key between low and high")
@@ -66,7 +66,7 @@ def _cuts(rows: DataFrame, nodes: DataFrame, n: int, key: Column) -> DataFrame:
         found = done if found is None else found.union(done)
         open_nodes = step.where("low < high")
         n = open_nodes.count()
-    return materialize(found.select("node", "dim", "want", F.col("low").alias("at"), "before", "mass"), "found")
+    return found.select("node", "dim", "want", F.col("low").alias("at"), "before", "mass")
 
 
 def assign(slim: DataFrame, n_shards: int, dimensions: tuple[str, ...] = DIMENSIONS, slack: float = SLACK) -> DataFrame:
@@ -104,9 +104,10 @@ def assign(slim: DataFrame, n_shards: int, dimensions: tuple[str, ...] = DIMENSI
             same = rows.join(small(halves.select("node", "dim", F.col("at").alias("_at")), n_halves), "node").where(key == F.col("_at")).drop("dim", "_at")
             ends = same.groupBy(F.col("node").alias("_n")).agg(F.min(own).alias("low"), F.max(own).alias("high"))
             inner = halves.join(ends, F.col("node") == F.col("_n")).select("node", "dim", (F.col("want") - F.col("before")).alias("want"), F.lit(0).cast("long").alias("before"), "low", "high")
+            inner = materialize(inner, "halves")
             inner = _cuts(same, inner, n_halves, own).select(F.col("node").alias("_n"), F.col("at").alias("_last"))
             cut = cut.join(small(inner, n_halves), F.col("node") == F.col("_n"), "left").withColumn("last", F.when(F.col("split"), F.col("_last")).otherwise(F.col("last")))
-        sides = materialize(cut.select("node", "dim", "at", "last"), "sides")
+        sides = cut.select("node", "dim", "at", "last")
         keyed = rows.join(small(sides, filled), "node", "left")
         left = (key < F.col("at")) | ((key == F.col("at")) & (F.col("last").isNull() | (own <= F.col("last"))))
         # children of node k are 2k+1 and 2k+2; an empty node's children are never asked for

@@ -37,7 +37,7 @@ NEUTRAL = "person"
 #: Lengths in bytes of the prefixes counted, and the bits of the space of features.
 PREFIXES, BITS = (4, 5, 6, 7), 20
 #: Bounds of the sample that is learnt from: labelled texts of each class, and those of them that are read with swaps.
-PER_CLASS, SWAPPED = 3_000, 2_000
+PER_CLASS, SWAPPED = 2_000, 1_000
 
 
 def feature_ids(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
